@@ -13,6 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -96,3 +97,43 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def bytes_of(column: pa.Array):
+    """The UTF-8 bytes of all texts of a column one after another, and where each begins and the last ends. A null is an empty text."""
+    import numpy as np
+
+    column = column.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and len(column.buffers()[2]) else np.zeros(0, np.uint8)
+    return data, ends
+
+
+def spans(ends, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most `most` bytes together; a longer text is a run of its own."""
+    first = 0
+    for i in range(1, len(ends)):
+        if ends[i] - ends[first] > most and i - 1 > first:
+            yield first, i - 1
+            first = i - 1
+    if len(ends) - 1 > first:
+        yield first, len(ends) - 1
+
+
+def bounded_sample(rows: DataFrame, label: str, per_label: int, columns: list[Column]) -> list:
+    """About per_label rows of each label, chosen by a hash of id and text, as a list of the given columns after the label."""
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect() if r[label] is not None}
+    if not counts:
+        return []
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    chosen = F.lit(False)
+    for value, n in sorted(counts.items()):
+        chosen = chosen | ((F.col(label) == F.lit(value)) & (part < F.lit(max(1, -(-(per_label << 20) // n)))))
+    found = rows.filter(chosen).select(F.col(label).alias("label"), *columns).collect()
+    found.sort(key=lambda r: tuple(map(str, r)))
+    return found
+
+
+def extended(schema: StructType, ddl: str) -> StructType:
+    """A schema with further fields."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -120,20 +120,43 @@ def spans(ends, most: int) -> Iterator[tuple[int, int]]:
         yield first, len(ends) - 1
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, columns: list[Column]) -> list:
-    """About per_label rows of each label, chosen by a hash of id and text, as a list of the given columns after the label."""
+def bounded_sample(rows: DataFrame, label: str, per_label: int, columns: list[Column]) -> tuple[list, dict]:
+    """About per_label rows of each label, chosen by a hash of id and text, as a list of the given columns after the label; and how many rows each label has."""
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect() if r[label] is not None}
     if not counts:
-        return []
+        return [], counts
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
     chosen = F.lit(False)
     for value, n in sorted(counts.items()):
         chosen = chosen | ((F.col(label) == F.lit(value)) & (part < F.lit(max(1, -(-(per_label << 20) // n)))))
     found = rows.filter(chosen).select(F.col(label).alias("label"), *columns).collect()
     found.sort(key=lambda r: tuple(map(str, r)))
-    return found
+    return found, counts
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
     """A schema with further fields."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+#: At most so many keys have 1/HOT of all rows or more; their values are broadcast, so that their rows aren't shuffled to one task.
+HOT = 256
+
+
+def looked_up(rows: DataFrame, key: str, known: DataFrame, settled: Column | None = None) -> DataFrame:
+    """rows, left-joined with known (one row for each key, with `n`, how many rows have it, and values that rows has no columns for), without moving the rows of a frequent key to one task.
+
+    settled: which rows need no values. They, those of frequent keys and those without a key are spread evenly."""
+    values = [c for c in known.columns if c not in (key, "n")]
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT >= F.lit(total)
+    known = known.filter(F.col(key).isNotNull())
+    often = known.filter(hot).select(F.col(key).alias("_hot_key"), *(F.col(c).alias(f"_hot_{c}") for c in values))
+    seldom = known.filter(~hot).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_part"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    columns = rows.columns
+    rows = rows.join(F.broadcast(often), F.col(key) == F.col("_hot_key"), "left")
+    done = F.col("_hot_key").isNotNull() | F.col(key).isNull() | (F.lit(False) if settled is None else F.coalesce(settled, F.lit(False)))
+    spread = F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) + 1
+    rows = rows.withColumn("_part", F.when(done, spread).otherwise(F.lit(0).cast("long")))
+    rows = rows.join(seldom, (F.col(key) == F.col("_cold_key")) & (F.col("_part") == F.col("_cold_part")), "left")
+    return rows.select(*columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))

@@ -147,7 +147,7 @@ def learn(docs: DataFrame, per_language: int = 1000) -> ByteNet | None:
     """docs: doc_id, text, lang; from a bounded sample of about per_language rows of each language, a window at a place that their hash gives."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     start = F.pmod(F.xxhash64("text", "doc_id"), F.greatest(F.lit(1), F.char_length("text") - WINDOW)) + 1
-    found = bounded_sample(rows, "lang", per_language, [F.col("text").substr(start.cast("int"), F.lit(WINDOW)).alias("part")])
+    found, _ = bounded_sample(rows, "lang", per_language, [F.col("text").substr(start.cast("int"), F.lit(WINDOW)).alias("part")])
     return train(*training_windows(found)) if found else None
 
 

@@ -43,5 +43,14 @@ FROM judged JOIN reputation USING (host)
 """
 
 
+WARC = """
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first FROM payloads WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM payloads LEFT JOIN firsts USING (payload_digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": URL_FILTER}
+    return {"op7_url_filter": URL_FILTER, "op9_warc": WARC}

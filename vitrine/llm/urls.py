@@ -13,12 +13,10 @@ only the id and the url are read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import ascii_lower, drop, written
+from vitrine.llm.common import ascii_lower, looked_up, written
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
@@ -90,10 +88,6 @@ def host_reputation(outcomes: DataFrame, suffixes: list[str] | None = None, z: f
     return hosts.join(domains, "domain").withColumn("bad_mean", share).withColumn("bad_bound", bound).select("host", "pages", F.col("n").alias("labelled"), "bad_mean", "bad_bound", (F.col("bad_bound") > limit).alias("blocked"))
 
 
-#: At most so many hosts have 1/HOT of all pages or more; their reputations are broadcast, so that their pages aren't shuffled to one task.
-HOT = 256
-
-
 def url_filter(pages: DataFrame, rules: list[Rule], suffixes: list[str] | None = None, z: float = 1.645, limit: float = 0.5) -> DataFrame:
     """pages: page_id, url. The pages that a rule fits are the labelled outcomes; the reputations learnt from them judge the rest.
 
@@ -102,13 +96,5 @@ def url_filter(pages: DataFrame, rules: list[Rule], suffixes: list[str] | None =
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     pages = pages.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     known = written(host_reputation(pages.select("host", (F.col("ruled") == "block").alias("bad")), suffixes, z, limit), "reputation")
-    total = known.agg(F.sum("pages")).first()[0] or 0
-    hot = known.filter(F.col("pages") * HOT >= total).select(F.col("host").alias("hot_host"), F.col("blocked").alias("hot_blocked"))
-    cold = known.filter(F.col("pages") * HOT < total).select(F.col("host").alias("key"), "blocked")
-    pages = pages.join(F.broadcast(hot), F.col("host") == F.col("hot_host"), "left")
-    settled = F.col("ruled").isNotNull() | F.col("hot_blocked").isNotNull()
-    # a settled row needs no reputation: its key, which no host can be, spreads it evenly
-    pages = pages.withColumn("key", F.when(settled, F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id", "path"), F.lit(4096)).cast("string"))).otherwise(F.col("host")))
-    judged = pages.join(cold, "key", "left")
-    bad = F.coalesce("hot_blocked", "blocked")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"))
+    judged = looked_up(pages, "host", known.select("host", F.col("pages").alias("n"), "blocked"), F.col("ruled").isNotNull())
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import language, license, packing, quality, simhash, toxicity, urls, warc
+from vitrine.llm import decontaminate, language, license, packing, quality, simhash, toxicity, urls, warc
 
 #: The rules of the URL filter.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_pack, op3_quality, op5_license_scan, op6_simhash, op7_url_filter, op8_toxicity, op9_warc, op10_language_id)
+    found = (op1_decontaminate, op2_pack, op3_quality, op5_license_scan, op6_simhash, op7_url_filter, op8_toxicity, op9_warc, op10_language_id)
     return {f.__name__: f for f in found}

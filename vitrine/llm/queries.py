@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import decontaminate, language, license, packing, quality, simhash, toxicity, urls, warc
+from vitrine.llm import decontaminate, imatch, language, license, packing, quality, simhash, toxicity, urls, warc
 
 #: The rules of the URL filter.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -28,6 +28,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -53,5 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_pack, op3_quality, op5_license_scan, op6_simhash, op7_url_filter, op8_toxicity, op9_warc, op10_language_id)
+    found = (op1_decontaminate, op2_pack, op3_quality, op4_fingerprints, op5_license_scan, op6_simhash, op7_url_filter, op8_toxicity, op9_warc, op10_language_id)
     return {f.__name__: f for f in found}

@@ -151,8 +151,8 @@ def learn(docs: DataFrame, per_language: int = 1000) -> ByteNet | None:
     return train(*training_windows(found)) if found else None
 
 
-def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """docs with lang_pred and score; docs: text and any columns but these."""
+def predict(docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and the score as further columns of those names; docs: text and any columns."""
     ship(docs.sparkSession)
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +169,21 @@ def predict(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                 mean = np.add.reduceat(predictor.probabilities(whole), starts, axis=0) / np.array([len(x) for x in each])[:, None]
                 best[first:last], score[first:last] = mean.argmax(axis=1), mean.max(axis=1)
             lettered = [bool(predictor) and text is not None and bool(_letter().search(text)) for text in column.to_pylist()]
-            names = pa.array([net.langs[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], pa.string())
+            best_langs = pa.array([net.langs[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], pa.string())
             scores = pa.array(np.clip(np.where(lettered, score, 0.0), 0, 1), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, scores], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, best_langs, scores], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, extended(docs.schema, "lang_pred string, score double"))
+    return docs.mapInArrow(run, extended(docs.schema, f"{names[0]} string, {names[1]} double"))
 
 
 def identify(docs: DataFrame, parts: int = 3, held: int = 1, per_language: int = 1000) -> DataFrame:
     """docs: doc_id, text, lang. Learns from the documents outside the held-out fold. Returns doc_id, held_out, lang_pred, score."""
     net = learn(docs.filter(fold_column(F.col("doc_id"), parts) != held), per_language)
     return predict(docs.select("doc_id", (fold_column(F.col("doc_id"), parts) == held).alias("held_out"), "text"), net).drop("text")
+
+
+def keep_known(docs: DataFrame, known: DataFrame, least: float = 0.5, parts: int = 3, held: int = 1) -> DataFrame:
+    """docs, all columns, without those in no language that was learnt, or for which no language has a score of at least `least`; known: what is learnt from, outside the held-out fold."""
+    net = learn(known.filter(fold_column(F.col("doc_id"), parts) != held))
+    names = ("vitrine_lang", "vitrine_score")
+    return predict(docs, net, names).filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)

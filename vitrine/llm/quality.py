@@ -122,8 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Neighbou
     return fit(term_counts(*bytes_of(column)), labels_, np.array([share[k] for k in labels_], float))
 
 
-def score(docs: DataFrame, model: Neighbours | None) -> DataFrame:
-    """docs with score; docs: text and any columns but that."""
+def score(docs: DataFrame, model: Neighbours | None, name: str = "score") -> DataFrame:
+    """docs with the score as a further column of that name; docs: text and any columns."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most about two labels' samples x DIMS
 
@@ -136,9 +136,9 @@ def score(docs: DataFrame, model: Neighbours | None) -> DataFrame:
                 for i in range(first, last, 512):
                     j = min(last, i + 512)
                     out[i:j] = vote(model, term_counts(data, ends[i : j + 1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(out, 0, 1), pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(out, 0, 1), pa.float64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, extended(docs.schema, "score double"))
+    return docs.mapInArrow(run, extended(docs.schema, f"{name} double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, per_label: int = 1500) -> DataFrame:
@@ -146,3 +146,9 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0,
     model = learn(docs.filter(fold_column(F.col("doc_id"), parts) != held), labels, per_label)
     scored = score(docs.select("doc_id", (fold_column(F.col("doc_id"), parts) == held).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, known: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without those that score under the threshold; known and labels: what is learnt from, outside the held-out fold."""
+    model = learn(known.filter(fold_column(F.col("doc_id"), parts) != held), labels)
+    return score(docs, model, "vitrine_score").filter(F.col("vitrine_score") >= threshold).drop("vitrine_score")

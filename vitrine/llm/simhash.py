@@ -55,34 +55,34 @@ def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     """Another hash from each hash; the first is itself."""
     if not seed:
         return hashes
-    z = hashes + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)
+    z = hashes + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
 
 
-def simhash(text: str, words: int, parts: int) -> np.ndarray:
-    """parts x 64 bits, as unsigned numbers."""
+def simhash(text: str, words: int, parts: int, repeats: bool = True) -> np.ndarray:
+    """parts x 64 bits, as unsigned numbers. repeats: whether a shingle counts as often as it occurs."""
     counts, n = np.zeros((parts, BITS), np.int64), 0
-    for hashes in shingle_hashes(text, words):
+    for hashes in shingle_hashes(text, words) if repeats else [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))]:
         n += len(hashes)
         for part in range(parts):
             counts[part] += np.unpackbits(mixed(hashes, part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0] if n else np.zeros(parts, np.uint64)
 
 
-def fingerprints(docs: DataFrame, words: int, parts: int = 1) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id and f0, f1 ...: 64 bits each."""
+def fingerprints(docs: DataFrame, words: int, parts: int = 1, repeats: bool = True) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, content (a hash of the text) and f0, f1 ...: 64 bits each."""
     ship(docs.sparkSession)
     names = [f"f{i}" for i in range(parts)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(text, words, parts) for text in texts_of(batch["text"])], np.uint64).reshape(-1, parts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(parts))], names=["doc_id", *names])
+            found = np.array([simhash(text, words, parts, repeats) for text in texts_of(batch["text"])], np.uint64).reshape(-1, parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(parts))], names=["doc_id", "content", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, content long, " + ", ".join(f"{n} long" for n in names))
 
 
 def gray_order(codes: np.ndarray) -> np.ndarray:
@@ -255,23 +255,47 @@ def components(links: DataFrame) -> DataFrame:
         before = mark
 
 
-def grouped(docs: DataFrame, words: int, parts: int, masks: list[list[int]], radius: int, exact: bool) -> DataFrame:
-    """doc_id, f0 ..., component_id: the smallest id of all that chains of links reach."""
+def grouped(docs: DataFrame, words: int, parts: int, masks: list[list[int]], radius: int, exact: bool, repeats: bool = True) -> DataFrame:
+    """doc_id, content, f0 ..., group (one number for all that chains of links reach) and component_id, the smallest id of the group."""
     names = [f"f{i}" for i in range(parts)]
-    prints = written(fingerprints(docs, words, parts), "fingerprints")
+    prints = written(fingerprints(docs, words, parts, repeats), "fingerprints")
     key = F.col("f0") if parts == 1 else F.xxhash64(*names)  # classes of equal fingerprints
     prints = prints.withColumn("id", key)
     classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     roots = components(class_links(classes.select("id", *names), parts, masks, radius, exact))
-    known = classes.join(roots, "id", "left").select("id", "n", "first", F.coalesce("root", "id").alias("root"))
-    known = written(known, "classes")
-    firsts = known.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n"), F.count("*").alias("classes"))
-    many = firsts.filter("classes > 1").select("root", F.col("classes").alias("n"), "component_id")
-    named = looked_up(known, "root", many).select("id", "n", F.coalesce("component_id", "first").alias("component_id"))
-    return looked_up(prints, "id", written(named, "components")).select("doc_id", *names, "component_id")
+    known = written(classes.join(roots, "id", "left").select("id", "n", "first", F.coalesce("root", "id").alias("group")), "classes")
+    firsts = known.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
+    named = looked_up(known, "group", firsts).select("id", "n", "group", F.coalesce("component_id", "first").alias("component_id"))
+    return looked_up(prints, "id", written(named, "components")).select("doc_id", "content", *names, "group", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, fingerprint (16 hexadecimal digits) and component_id, of all links at radius differing bits or fewer."""
     found = grouped(docs, words, 1, [[m] for m in blocks_of(0, radius + 1)], radius, exact=True)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def random_masks(parts: int, bits: int, count: int, seed: int = 11) -> list[list[int]]:
+    """Masks of so many bits each, drawn from all parts."""
+    rng = np.random.default_rng(seed)
+    drawn = [rng.choice(BITS * parts, bits, replace=False) for _ in range(count)]
+    return [[sum(1 << int(b % BITS) for b in mask if b // BITS == part) for part in range(parts)] for mask in drawn]
+
+
+#: For similarity 0.8 of the sets of shingles: the cosine is about 0.89, and 15 % of the bits differ, give or take 2 %. A bucket is of the
+#: classes that are equal in MASK_BITS drawn bits; such a pair meets in one of MASKS buckets with a chance of 0.97.
+SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MASKS = 4, 44, 20, 96
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs, all columns, with one row of each group of near-duplicates: shingles of five words, sets of similarity 0.8 or more.
+
+    A bit of a fingerprint differs with the angle between two sets, so that the limit is one of 44 of 256 bits. The row that stays is the one with the
+    smallest id that isn't null, of several such the one whose text has the smallest hash."""
+    masks = random_masks(SIMILAR_PARTS, MASK_BITS, MASKS)
+    found = grouped(docs, words, SIMILAR_PARTS, masks, SIMILAR_RADIUS, exact=False, repeats=False)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content"))
+    kept = found.groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias("vitrine_id"), F.col("kept.content").alias("vitrine_content"))
+    left = docs.withColumn("vitrine_text", F.xxhash64("text"))
+    left = left.join(kept, left["doc_id"].eqNullSafe(kept["vitrine_id"]) & (left["vitrine_text"] == kept["vitrine_content"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "vitrine_text"]).drop("vitrine_text")

@@ -1,0 +1,326 @@
+import datetime
+import decimal
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from vitrine import catalog, cli
+from vitrine.errors import ViewError
+from vitrine.functions.cells import format_cell, format_column, truncated, type_name
+from vitrine.functions.render import render
+from vitrine.operators import explore
+from vitrine.operators.pagecache import DataPage, PageCache, PageCacheLimits, PageKey
+from vitrine.operators.viewport import ParquetSource, quoted
+from vitrine.plans.projection import Projection
+from vitrine.plans.window import FetchRequest, RowWindow
+from vitrine.sources.footer import DatasetMetadata
+from vitrine.sources.generated import generated, write_parquet
+from vitrine.sources.rowgroups import group_partitions
+
+
+def write(path, table, group=None, **options):
+    pq.write_table(table, str(path), row_group_size=group, **options)
+    return str(path)
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    ids = pa.array(range(6), pa.int32())
+    schema = pa.schema([pa.field("id", pa.int32(), False), pa.field("value", pa.int32(), False)])
+    return write(tmp_path_factory.mktemp("small") / "a.parquet", pa.table([ids, pa.array([10 * i for i in range(6)], pa.int32())], schema=schema), 3)
+
+
+@pytest.fixture(scope="module")
+def wide(tmp_path_factory):
+    n = 100_000
+    table = pa.table({"id": pa.array(range(n), pa.int32()), "big": pa.array([i * 10**12 for i in range(n)], pa.int64()), "s": [f"s{i % 977}" for i in range(n)], "f": [i / 7 for i in range(n)]})
+    return write(tmp_path_factory.mktemp("wide") / "w.parquet", table, 10_000)
+
+
+def ids(table, name="id"):
+    return table.column(name).to_pylist()
+
+
+def test_open_and_windows(spark, small):
+    s = ParquetSource.open(spark, small)
+    assert s.row_count == 6 and s.column_count == 2
+    assert [(g.index, g.first_row, g.row_count) for g in s.row_groups] == [(0, 0, 3), (1, 3, 3)]
+    assert ids(s.read_window(1, 2, [0])) == [1, 2]
+    assert ids(s.read_window(2, 3, [0])) == [2, 3, 4]
+    assert s.read_window(0, 2, [1]).column_names == ["value"]
+    assert s.read_window(0, 2, [1, 0]).column_names == ["value", "id"]
+    assert ids(s.head(2)) == [0, 1]
+    assert s.read_window(6, 5).num_rows == 0 and s.read_window(0, 0, [1]).column_names == ["value"]
+    assert ids(s.fetch(FetchRequest(4, 9, Projection((0,))))) == [4, 5]
+    with pytest.raises(ViewError):
+        s.read_window(7, 1)
+    assert s.row_group_frame().collect() == [(0, 0, 3), (1, 3, 3)]
+
+
+def test_filtered_windows(spark, small):
+    s = ParquetSource.open(spark, small)
+    assert ids(s.read_filtered_window("id >= 2", 1, 2, [0])) == [3, 4]
+    # the filter's column isn't projected, or stands after others
+    assert s.read_filtered_window("id >= 2", 0, 9, [1]).column("value").to_pylist() == [20, 30, 40, 50]
+    out = s.read_filtered_window("id >= 2", 0, 9, [1, 0])
+    assert out.column_names == ["value", "id"] and ids(out) == [2, 3, 4, 5]
+    assert s.read_filtered_window("value == 30", 1, 5).num_rows == 0
+    assert s.read_filtered_window("nowhere == 1", 0, 0, [1]).column_names == ["value"]
+    with pytest.raises(ViewError):
+        s.read_filtered_window("nowhere == 1", 0, 1)
+
+
+def test_pages_and_cache(spark, small, tmp_path):
+    s = ParquetSource.open(spark, small)
+    page = s.read_page(0)
+    assert (page.window.first_row, page.window.row_count, page.table.num_rows) == (0, 6, 6)
+    assert s.read_page(0) is page and s.read_page(0, [1]) is not page
+    s.set_cache_limits(PageCacheLimits(2, 10**6))
+    assert s.read_page(0) is not page
+    with pytest.raises(ViewError):
+        s.read_page(1)
+    two = ParquetSource.open(spark, write(tmp_path / "two.parquet", pa.table({"id": range(8192)})))
+    assert ids(two.read_page(1).table)[0] == 4096
+    assert two.read_page(2).table.num_rows == 0
+    with pytest.raises(ViewError):
+        two.read_page(3)
+
+
+def test_page_cache():
+    def page(index, size, columns=(0,)):
+        return DataPage(PageKey(index, Projection(tuple(columns))), RowWindow(0, 1), pa.table({}), size)
+
+    def key(index, columns=(0,)):
+        return PageKey(index, Projection(tuple(columns)))
+
+    c = PageCache(PageCacheLimits(2, 100))
+    assert all(c.insert(page(i, 1)) for i in range(3))
+    assert len(c) == 2 and c.get(key(0)) is None and c.get(key(2))
+    c.get(key(1))
+    c.insert(page(3, 1))
+    assert c.get(key(1)) and c.get(key(2)) is None  # the least recently used went
+    c = PageCache(PageCacheLimits(8, 10))
+    c.insert(page(0, 6))
+    c.insert(page(1, 6))
+    assert (len(c), c.bytes) == (1, 6) and c.get(key(0)) is None
+    assert not c.insert(page(1, 11)) and c.is_empty() and c.bytes == 0
+    c = PageCache(PageCacheLimits(0, 100))
+    c.insert(page(0, 1))
+    assert c.get(key(0)) and c.get(key(0, (1,))) is None
+
+
+def test_deep_windows_read_their_groups_only(spark, wide):
+    s = ParquetSource.open(spark, wide)
+    assert len(s.row_groups) == 10
+    parts = group_partitions(s.metadata, s.parts, RowWindow(89_998, 5))
+    assert [(p.group, p.skip, p.take) for p in parts] == [(8, 9998, 2), (9, 0, 3)]
+    assert ids(s.read_window(89_998, 5, [0])) == [89_998, 89_999, 90_000, 90_001, 90_002]
+    assert s.window_frame(89_998, 5, [0]).rdd.getNumPartitions() <= 2
+    assert ids(s.read_page(24, [0]).table) == list(range(98_304, 100_000))
+    out = s.read_window(95_000, 2, [3, 2, 0])
+    assert out.column_names == ["f", "s", "id"] and out.column("s").to_pylist() == [f"s{i % 977}" for i in (95_000, 95_001)]
+
+
+def test_pushdown(spark, wide):
+    s = ParquetSource.open(spark, wide)
+    plan = s.filtered_frame("big >= 9000000000000000", 0, 3, [0])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(big,9000000000000000)" in plan.replace(" ", "")
+    assert "s:string" not in plan.split("ReadSchema")[1].split("\n")[0]
+    deep = s._counted(s.matches(cli.FilterExpr.parse("id >= 3"), [0]), 50_000, 4).toArrow()
+    assert ids(deep) == [50_003, 50_004, 50_005, 50_006]
+    assert s._counted(s.matches(cli.FilterExpr.parse("id >= 3"), [0]), 10**6, 4).count() == 0
+
+
+def test_many_files(spark, tmp_path):
+    for i in range(3):
+        write(tmp_path / f"part-{i} +%.parquet", pa.table({"id": range(i * 5, i * 5 + 5)}), 2)
+    s = ParquetSource.open(spark, str(tmp_path))
+    assert s.row_count == 15 and len(s.row_groups) == 9
+    assert ids(s.read_window(4, 3)) == [4, 5, 6]
+    assert ids(s.read_filtered_window("id != 6", 5, 3)) == [5, 7, 8]
+
+
+NUMBERS = [1.0, -0.0, 0.0, math.nan, math.inf, -math.inf, 2.5, None]
+OPS = {"==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
+def test_floats_compare_by_ieee(spark, tmp_path):
+    for name, kind in (("d", pa.float64()), ("f", pa.float32())):
+        s = ParquetSource.open(spark, write(tmp_path / f"{name}.parquet", pa.table({"i": range(8), "v": pa.array(NUMBERS, kind)})))
+        for op, test in OPS.items():
+            for literal in ("1", "0", "nan", "inf", "-inf", "2.5"):
+                expected = [i for i, v in enumerate(NUMBERS) if v is not None and test(v, float(literal))]
+                assert ids(s.read_filtered_window(f"v {op} {literal}", 0, 99, [0]), "i") == expected, (op, literal)
+    s = ParquetSource.open(spark, write(tmp_path / "trap.parquet", pa.table({"v": [1.0, math.nan, 1.0]})))
+    assert s.read_filtered_window("v != 1.0", 0, 9).num_rows == 1
+
+
+def test_integers_compare_as_floats(spark, tmp_path):
+    values = [0, 5, 2**31, 2**53 - 1, 2**53, 2**53 + 1, 2**62, -(2**53) - 1, 2**63 - 1, -(2**63), None]
+    s = ParquetSource.open(spark, write(tmp_path / "l.parquet", pa.table({"i": range(11), "v": pa.array(values, pa.int64())})))
+    for op, test in OPS.items():
+        for literal in ("5", "5.5", "9007199254740992", "9007199254740993", "9223372036854775807", "nan", "inf", "-1e300"):
+            expected = [i for i, v in enumerate(values) if v is not None and test(float(v), float(literal))]
+            assert ids(s.read_filtered_window(f"v {op} {literal}", 0, 99, [0]), "i") == expected, (op, literal)
+    u = pa.table({"a": pa.array([1, 2**32 - 1], pa.uint32()), "b": pa.array([1, 2**64 - 1], pa.uint64())})
+    s = ParquetSource.open(spark, write(tmp_path / "u.parquet", u))
+    assert s.read_filtered_window("a > 5", 0, 9, [0]).column("a").to_pylist() == [2**32 - 1]
+    assert s.read_filtered_window("b > 5", 0, 9, [1]).column("b").to_pylist() == [decimal.Decimal(2**64 - 1)]
+    assert s.read_window(1, 1).column("b").to_pylist() == [decimal.Decimal(2**64 - 1)]
+
+
+def test_nulls_strings_and_booleans(spark, tmp_path):
+    t = pa.table({"x": pa.array([1, 2, 3, None], pa.int32()), "s": ["alpha", "beta", None, "é\"=="], "b": [True, False, None, True]})
+    s = ParquetSource.open(spark, write(tmp_path / "n.parquet", t))
+
+    def mask(text):
+        return ids(s.read_filtered_window(text, 0, 9, [0]), "x")
+
+    assert [mask(f"x {op} 2") for op in OPS] == [[2], [1, 3], [1], [1, 2], [3], [2, 3]]
+    assert mask('s contains "ha"') == [1] and mask("s contains %") == [] and mask('s contains ""') == [1, 2, None]
+    assert mask("s > beta") == [None] and mask("s < B") == [] and mask("s != beta") == [1, None]
+    assert mask("b == true") == [1, None] and mask("b != true") == [2]
+    for bad in ("b > true", "b contains true", "b == TRUE", "x contains 1", "x == one", "x =="):
+        with pytest.raises(ViewError):
+            mask(bad)
+
+
+def test_names(spark, tmp_path):
+    t = pa.table({"x": [1, 2], "X": [3, 4], "a.b": [5, 6], "0": [7, 8], "t`k": [9, 10]})
+    s = ParquetSource.open(spark, write(tmp_path / "c.parquet", t))
+    try:
+        assert s.read_filtered_window("X == 4", 0, 9, [0]).column("x").to_pylist() == [2]
+        assert s.read_filtered_window("a.b == 6", 0, 9, [4]).column("t`k").to_pylist() == [10]
+        assert s.read_filtered_window("0 == 2", 0, 9, [3]).column("0").to_pylist() == [8]
+        assert s.read_window(1, 1, [4, 2, 1]).to_pylist() == [{"t`k": 10, "a.b": 6, "X": 4}]
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_empty(spark, tmp_path):
+    s = ParquetSource.open(spark, write(tmp_path / "e.parquet", pa.table({"id": pa.array([], pa.int32())})))
+    assert s.row_count == 0 and s.read_window(0, 5).num_rows == 0 and s.read_page(0).table.num_rows == 0
+    assert s.read_filtered_window("id > 1", 0, 5).num_rows == 0
+    with pytest.raises(ViewError):
+        s.read_page(1)
+    for path in (tmp_path / "none.parquet", tmp_path / "folder"):
+        with pytest.raises(ViewError):
+            ParquetSource.open(spark, str(path))
+    (tmp_path / "bad.parquet").write_bytes(b"no footer")
+    with pytest.raises(ViewError):
+        ParquetSource.open(spark, str(tmp_path / "bad.parquet"))
+
+
+TYPES = pa.table({
+    "id": pa.array([1, 2], pa.int8()), "h": pa.array(np.array([1.5, 2], np.float16)), "t": pa.array([1, 2], pa.time32("ms")), "l": pa.array([1, 2], pa.time64("us")),
+    "ns": pa.array([1, 2], pa.timestamp("ns")), "ms": pa.array([1000, None], pa.timestamp("ms", "UTC")), "d": pa.array([1, None], pa.date32()), "d64": pa.array([86_400_000, None], pa.date64()),
+    "bin": [b"abcdef", None], "dec": [decimal.Decimal("1.5"), None], "st": [{"a": 1}, None], "li": [[1], None], "m": pa.array([[("k", 1)], None], pa.map_(pa.string(), pa.int64())), "dic": pa.array(["a", "b"]).dictionary_encode(), "du": pa.array([5, None], pa.duration("s"))})
+
+
+def test_types(spark, tmp_path):
+    s = ParquetSource.open(spark, write(tmp_path / "t.parquet", TYPES))
+    out = s.read_window(0, 1)
+    kinds = [f.type for f in s.schema]
+    assert out.column("h").to_pylist() == [1.5] and out.column("li").to_pylist() == [[1]]
+    text = [format_cell(out.column(i), 0, kind=kinds[i]) for i in range(len(kinds))]
+    assert text[0] == "1" and text[4] == "timestamp_ns:1 UTC" and text[5] == "timestamp_ms:1000 UTC" and text[6] == "date32:1" and text[7].startswith("date") and text[8] == "616263646566"
+    assert s.read_filtered_window("id == 2", 0, 9, [0, 5]).num_rows == 1
+    for bad in ("d == 1", "st == 1", "dec > 1", "bin == a"):
+        with pytest.raises(ViewError):
+            s.read_filtered_window(bad, 0, 9, [0])
+    with pytest.raises(ViewError):
+        s.read_filtered_window("id == 2", 0, 9, [1])
+    spark.conf.unset("spark.sql.legacy.parquet.nanosAsLong")
+
+
+def test_cells():
+    assert format_cell(pa.array([True]), 0) == "true"
+    assert format_cell(pa.array([-7], pa.int32()), 0) == "-7"
+    assert format_cell(pa.array([7], pa.uint64()), 0) == "7"
+    assert [format_cell(pa.array([v]), 0) for v in (1.5, 1.0, 1e7, 1e-7, -0.0, math.nan, math.inf)] == ["1.5", "1", "10000000", "0.0000001", "-0", "NaN", "inf"]
+    assert format_cell(pa.array([0.1], pa.float32()), 0) == "0.1"
+    assert format_cell(pa.array([None], pa.string()), 0) == "null" == format_cell(pa.array(["a"]), 1)
+    assert format_cell(pa.array([1], pa.date32()), 0) == "date32:1"
+    assert format_cell(pa.array([86_400_000], pa.date64()), 0) == "date64_ms:86400000"
+    assert format_cell(pa.array([1000], pa.timestamp("ms")), 0) == "timestamp_ms:1000 UTC"
+    assert format_cell(pa.array([-1], pa.timestamp("us", "Europe/Berlin")), 0) == "timestamp_us:-1 Europe/Berlin"
+    assert format_cell(pa.array(["abcdef"]), 0, 3) == "abc..."
+    assert format_cell(pa.array([b"abcdef"]), 0, 6) == "616263..."
+    assert truncated("éééé", 3) == "é..." and truncated("日本", 6) == "日本"
+    assert type_name(pa.list_(pa.int32())) == "List(Int32)" and format_cell(pa.array([[1]]), 0) == "List(Int64)"
+    assert type_name(pa.uint16()) == "UInt16" and type_name(pa.timestamp("us")) == "Timestamp(Microsecond, None)"
+
+
+def test_cells_as_columns(spark, tmp_path):
+    t = pa.table({
+        "s": ["éééé", "日本語", "abc", "abcd", "", None, "😀😀"], "b": [b"\x00\xff", b"", b"abc", b"abcd", b"abcde", None, b"a"], "f": [1.0, 1e7, -0.0, math.nan, math.inf, None, 0.1],
+        "i": pa.array([1, -1, 2, 3, 4, None, 5], pa.int16()), "o": [True, False, True, True, True, None, False], "d": pa.array([1, -1, 0, 9, 9, None, 3], pa.date32()), "ms": pa.array([1000, -1, 0, 9, 9, None, 3], pa.timestamp("ms")), "z": pa.array([1000, -1, 0, 9, 9, None, 3], pa.timestamp("us", "UTC"))})
+    s = ParquetSource.open(spark, write(tmp_path / "f.parquet", t))
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for limit in (3, 4, 6, 1024):
+            out = s.scan().select(*(format_column(quoted(f.name), f.type, limit).alias(f.name) for f in s.schema)).toArrow()
+            for f in s.schema:
+                assert out.column(f.name).to_pylist() == [format_cell(t.column(f.name), r, limit) for r in range(7)], (f.name, limit, zone)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_render():
+    long = "n" * 40
+    text = render(pa.table({"a": ["x" * 40, None], long: [1, 2]}))
+    lines = text.split("\n")
+    assert lines[0] == "Preview: 2 rows × 2 columns"
+    assert "x" * 31 + "…" in text and long in text and "│   1 │" in text and "null" in text
+    assert render(pa.table({})).split("\n")[1] == "(no columns)"
+    assert render(pa.table({"a": [1]})).split("\n")[2] == "│   # │ a    │"
+
+
+def test_cli(spark, small, tmp_path, capsys):
+    assert cli.main([small, "--head", "2", "--columns", "1,0"], spark) == 0
+    out = capsys.readouterr().out
+    assert "Rows: 6" in out and "Row groups: 2" in out and "rows 3..=5 (3 rows)" in out and "  0 id                   Int32" in out and "Preview: 2 rows × 2 columns" in out
+    assert cli.main([small, "--filter", "value > 30"], spark) == 0
+    assert "Preview: 2 rows" in capsys.readouterr().out
+    assert cli.main([small, "--columns", "9"], spark) == 1
+    assert capsys.readouterr().out == ""
+    assert cli.main([small, "--filter", "what"], spark) == 1
+    captured = capsys.readouterr()
+    assert "Rows: 6" in captured.out and "error" in captured.err
+    many = write(tmp_path / "many.parquet", pa.table({"id": range(12)}), 1)
+    cli.main([many, "--head", "1"], spark)
+    assert "..." in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.arguments([small, "--head", "-1"])
+
+
+def test_generated(spark, tmp_path):
+    rows = generated(spark, 1000)
+    assert [f.dataType.typeName() for f in rows.schema] == ["long", "long", "long", "long", "double", "boolean", "boolean", "string", "integer", "byte"]
+    write_parquet(rows.coalesce(1), str(tmp_path / "g"), 300)
+    s = ParquetSource.open(spark, str(tmp_path / "g"))
+    assert [g.row_count for g in s.row_groups] == [300, 300, 300, 100]
+    assert s.read_window(999, 1).to_pylist() == [{"id": 999, "user_id": 999, "category_id": 99, "value_int": 9990, "value_float": 0.999, "is_even": False, "is_special": False, "label": "dummy_999", "group_id": 49, "day_of_week": 5}]
+
+
+def test_explore(spark, tmp_path):
+    t = pa.table({"k": range(6), "v": [2.0, None, 1.0, math.nan, 2.0, 5.0], "s": list("bbacca"), "d": [datetime.date(2020, 1, i + 1) for i in range(6)]})
+    s = ParquetSource.open(spark, write(tmp_path / "x.parquet", t, 2))
+    assert [r["k"] for r in explore.sorted_page(s, 1, 0, 4, [0]).collect()] == [2, 0, 4, 5]
+    assert [r["k"] for r in explore.sorted_page(s, 2, 1, 3, [0], descending=True).collect()] == [4, 0, 1]
+    stats = {r["column_name"]: r for r in explore.column_stats(s).collect()}
+    assert (stats["k"]["n"], stats["k"]["lo"], stats["k"]["hi"], stats["k"]["mean"]) == (6, "0", "5", 2.5) and stats["v"]["n_null"] == 1 and stats["s"]["distinct_about"] == 3 and stats["d"]["hi"] == "2020-01-06"
+    bins = sorted((r["bin"], r["n"]) for r in explore.histogram(s, 1, 4).collect())
+    assert bins == [(0, 1), (1, 2), (2, 0), (3, 1)]
+    assert [(r["value"], r["n"]) for r in explore.top_values(s, 2, 2).collect()] == [("a", 2), ("b", 2)]
+
+
+def test_overflow():
+    with pytest.raises(ViewError):
+        DatasetMetadata.build(pa.schema([]), [(1 << 64) - 1, 1])
+
+
+def test_catalog_names():
+    assert set(catalog.oracle_sql()) <= set(catalog.queries())

@@ -110,11 +110,28 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, columns: list[Co
     chosen = F.lit(False)
     for value, n in sorted(counts.items()):
         chosen = chosen | ((F.col(label) == F.lit(value)) & (part < F.lit(max(1, -(-(per_label << 20) // n)))))
-    found = rows.filter(chosen).select(F.col(label).alias("label"), *columns).collect()
+    found = rows.filter(chosen).select(F.col(label).alias("label"), *columns).distinct().collect()
     found.sort(key=lambda r: tuple(map(str, r)))
     return found, counts
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, part: Column) -> tuple[list, dict]:
+    """About per_label labelled ids of each label 0 and 1, chosen by a hash, as rows of label and part (a text of the document); and how many ids each label has.
+
+    The ids are chosen among the labels, so that a bounded number of them, and no document, is moved to join the two."""
+    marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label")).distinct()
+    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    chosen = F.lit(False)
+    for value, n in sorted(counts.items()):
+        chosen = chosen | ((F.col("label") == F.lit(value)) & (place < F.lit(max(1, -(-(per_label << 20) // n)))))
+    side = F.broadcast(marked.filter(chosen).select(F.col("doc_id").alias("labelled_id"), "label"))  # about 2 x per_label ids
+    rows = docs.select("doc_id", part.alias("part")).join(side, F.col("doc_id") == F.col("labelled_id"))
+    found = rows.groupBy("labelled_id", "label").agg(F.min("part").alias("part")).collect()  # of rows that share an id, one
+    found.sort(key=lambda r: (str(r["labelled_id"]), r["label"]))
+    return found, counts
+
+
 def extended(schema: StructType, ddl: str) -> StructType:
     """A schema with further fields."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -1,6 +1,6 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a text) meets a template if it contains at least `threshold` of the template's distinct words.
+A block (a sentence: what a line break, or a full stop, exclamation or question mark with a space, ends) meets a template if it contains at least `threshold` of the template's distinct words.
 The join filters exactly: words are ordered by the number of documents of the corpus that they are in, the rarest
 first; a block that meets a template of s words, t of them needed, has at least one of the template's first
 s - t + 1 words (prefix filter), at least t distinct words (length filter), and, where the i-th word of the template
@@ -14,6 +14,7 @@ every row is scanned by itself. Tables may be empty and may have further columns
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -103,7 +104,7 @@ def document_frequency(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
 
 
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks: the lines that meet a template, with label and containment.
+    """docs: doc_id, text. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks: the sentences that meet a template, with label and containment.
 
     score: 1 with a phrase's place, else the largest containment of a template, 0 below the threshold."""
     ship(docs.sparkSession)
@@ -112,7 +113,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, template
     vocabulary = {w for _, text in templates for w in text.encode().translate(_WORDS).split()}
     index = build(templates, document_frequency(docs, vocabulary), threshold)
     rare = list(index.prefixes)
-    schema = extended(docs.select("doc_id").schema, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:long,label:string,containment:double>>")
+    schema = extended(docs.select("doc_id").schema, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<block:long,label:string,containment:double>>")
 
     def one(text: str) -> tuple:
         data = text.encode(errors="surrogatepass").translate(_WORDS)
@@ -121,9 +122,10 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, template
         base = places(words, split) if any(distinct.issuperset(p) for p, _ in split) else []
         blocks = []
         if not distinct.isdisjoint(rare):
-            for line, block in enumerate(data.split(b"\n")):
+            sentences = re.sub(rb"[.!?] ", b"\n", text.encode(errors="surrogatepass")).translate(_WORDS)
+            for number, block in enumerate(sentences.split(b"\n")):
                 for t, share in sorted(met(index, set(block.split())).items()):
-                    blocks.append({"line": line, "label": index.templates[t][0], "containment": share})
+                    blocks.append({"block": number, "label": index.templates[t][0], "containment": share})
         at = [i for i, _ in base]
         labels = {label for _, label in base}
         every = labels | {b["label"] for b in blocks}
@@ -131,7 +133,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, template
         return len(words), len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, blocks
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("block", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])))
         for batch in parts:
             rows = [one(text) for text in texts_of(batch["text"])]
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_sample, bytes_of, extended, fold_column, ship, spans
+from vitrine.llm.common import bytes_of, extended, fold_column, labelled_sample, ship, spans
 
 TERMS = 4096
 #: Terms of shape: eight levels of each of SHAPES shares.
@@ -111,9 +111,7 @@ def vote(model: Neighbours, counts: np.ndarray, nearest: int = NEAREST) -> np.nd
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Neighbours | None:
     """docs: doc_id, text; labels: doc_id, quality. About per_label rows of each label are taken."""
-    marked = labels.filter("quality IN (0, 1)").select("doc_id", "quality").dropDuplicates(["doc_id", "quality"])
-    rows = docs.select("doc_id", "text").join(marked, "doc_id")
-    found, counts = bounded_sample(rows, "quality", per_label, [F.substring("text", 1, 1 << 20).alias("part")])
+    found, counts = labelled_sample(docs, labels, "quality", per_label, F.substring(F.coalesce("text", F.lit("")), 1, 1 << 20))
     if not found:
         return None
     column = pa.array([r["part"] for r in found], pa.string())

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_sample, bytes_of, extended, fold_column, ship, spans
+from vitrine.llm.common import bytes_of, extended, fold_column, labelled_sample, ship, spans
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5, 6, 7)
@@ -148,9 +148,7 @@ def train(data: np.ndarray, ends: np.ndarray, labels: np.ndarray, dims: int = 8,
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> Subwords | None:
     """docs: doc_id, text; labels: doc_id, toxic. About per_label rows of each label are taken, of each at most 16 Ki characters."""
-    marked = labels.filter("toxic IN (0, 1)").select("doc_id", "toxic").dropDuplicates(["doc_id", "toxic"])
-    rows = docs.select("doc_id", "text").join(marked, "doc_id")
-    found, counts = bounded_sample(rows, "toxic", per_label, [F.substring("text", 1, 1 << 14).alias("part")])
+    found, counts = labelled_sample(docs, labels, "toxic", per_label, F.substring(F.coalesce("text", F.lit("")), 1, 1 << 14))
     known = np.array([r["label"] for r in found], int)
     if not known.any():
         return None

@@ -7,7 +7,7 @@ from vitrine.llm.license import PHRASES, TEMPLATES, THRESHOLD
 #: The strength of a level's prior: prior_strength() of urls.py in SQL.
 _STRENGTH = """
   SELECT CASE WHEN k < 2 OR n IS NULL OR n = 0 OR bad = 0 OR bad = n THEN 10.0
-         ELSE 1 / least(greatest(CASE WHEN room > 0 THEN (spread - w * (k - 1)) / room ELSE 0.5 END, 1.0 / 1001), 0.5) - 1 END AS m
+         ELSE 1 / least(greatest(CASE WHEN room > 0 THEN (spread - w * (k - 1)) / room ELSE 0.5 END, 1.0 / 1001), 1.0 / 6) - 1 END AS m
   FROM (SELECT *, bb - 2 * mean * bad + mean * mean * n AS spread, w * (n - nn / n - (k - 1)) AS room
         FROM (SELECT *, bad / n AS mean, (bad / n) * (1 - bad / n) AS w
               FROM (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n * n)::DOUBLE AS nn, sum(bad * bad / n::DOUBLE) AS bb FROM {level} WHERE n > 0)))
@@ -36,10 +36,14 @@ hosts AS (
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 tops AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 mh AS ({_STRENGTH.format(level="hosts")}), md AS ({_STRENGTH.format(level="domains")}), ms AS ({_STRENGTH.format(level="tops")}),
-top_mean AS (SELECT suffix, (bad + (SELECT m FROM ms) * (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) FROM tops)) / (n + (SELECT m FROM ms)) AS mean FROM tops),
-domain_mean AS (SELECT domain, (bad + (SELECT m FROM md) * mean) / (n + (SELECT m FROM md)) AS mean FROM domains JOIN top_mean USING (suffix)),
-host_mean AS (SELECT host, n, (bad + (SELECT m FROM mh) * mean) / (n + (SELECT m FROM mh)) AS mean FROM hosts JOIN domain_mean USING (domain)),
-reputation AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + (SELECT m FROM mh) + 1)) > 0.5 AS blocked FROM host_mean)
+total AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM tops),
+top_mean AS (SELECT suffix, n + w AS known, (bad + w * above) / (n + w) AS mean
+             FROM (SELECT t.*, least((SELECT m FROM ms), total.n + 1) AS w, (total.bad + 0.5) / (total.n + 1) AS above FROM tops t, total)),
+domain_mean AS (SELECT domain, n + w AS known, (bad + w * above) / (n + w) AS mean
+                FROM (SELECT d.*, least((SELECT m FROM md), t.known) AS w, t.mean AS above FROM domains d JOIN top_mean t USING (suffix))),
+host_mean AS (SELECT host, n + w AS known, (bad + w * above) / (n + w) AS mean
+              FROM (SELECT h.*, least((SELECT m FROM mh), d.known) AS w, d.mean AS above FROM hosts h JOIN domain_mean d USING (domain))),
+reputation AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (known + 1)) > 0.5 AS blocked FROM host_mean)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged JOIN reputation USING (host)
 """

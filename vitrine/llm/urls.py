@@ -60,7 +60,13 @@ def prior_strength(groups: int, n: int, bad: int, nn: float, bb: float) -> float
     spread = bb - 2 * mean * bad + mean * mean * n
     room = within * (n - nn / n - (groups - 1))
     rho = (spread - within * (groups - 1)) / room if room > 0 else 0.5
-    return 1 / min(max(rho, 1 / 1001), 1 / 2) - 1
+    return 1 / min(max(rho, 1 / 1001), 1 / 6) - 1
+
+
+def _shrunk(groups: DataFrame, level: str, strength: float, above: Column, above_known: Column) -> DataFrame:
+    """groups with the posterior mean of each, and how many outcomes it rests on. The level above can't count for more outcomes than it rests on itself."""
+    weight = F.least(F.lit(strength), above_known)
+    return groups.withColumn(f"{level}_known", F.col("n") + weight).withColumn(f"{level}_mean", (F.col("bad") + weight * above) / F.col(f"{level}_known"))
 
 
 def host_reputation(outcomes: DataFrame, suffixes: list[str] | None = None, z: float = 1.645, limit: float = 0.5) -> DataFrame:
@@ -76,16 +82,11 @@ def host_reputation(outcomes: DataFrame, suffixes: list[str] | None = None, z: f
         s = groups.filter("n > 0").agg(*_strength(groups, level)).first()
         found[level] = prior_strength(*(s[f"{level}_{k}"] or 0 for k in ("groups", "n", "bad", "nn", "bb")))
         total_n, total_bad = s[f"{level}_n"] or 0, s[f"{level}_bad"] or 0
-    mean = F.lit((total_bad + 0.5) / (total_n + 1))
-
-    def shrunk(level: str, above: Column) -> Column:
-        return (F.col("bad") + found[level] * above) / (F.col("n") + found[level])
-
-    tops = tops.select("suffix", shrunk("suffix", mean).alias("suffix_mean"))
-    domains = domains.join(tops, "suffix").select("domain", shrunk("domain", F.col("suffix_mean")).alias("domain_mean"))
-    share = shrunk("host", F.col("domain_mean"))
-    bound = F.col("bad_mean") - z * F.sqrt(F.col("bad_mean") * (1 - F.col("bad_mean")) / (F.col("n") + found["host"] + 1))
-    return hosts.join(domains, "domain").withColumn("bad_mean", share).withColumn("bad_bound", bound).select("host", "pages", F.col("n").alias("labelled"), "bad_mean", "bad_bound", (F.col("bad_bound") > limit).alias("blocked"))
+    tops = _shrunk(tops, "suffix", found["suffix"], F.lit((total_bad + 0.5) / (total_n + 1)), F.lit(total_n + 1.0))
+    domains = _shrunk(domains.join(tops.drop("n", "bad"), "suffix"), "domain", found["domain"], F.col("suffix_mean"), F.col("suffix_known")).drop("n", "bad", "suffix", "suffix_mean", "suffix_known")
+    judged = _shrunk(hosts.join(domains, "domain"), "host", found["host"], F.col("domain_mean"), F.col("domain_known"))
+    bound = F.col("host_mean") - z * F.sqrt(F.col("host_mean") * (1 - F.col("host_mean")) / (F.col("host_known") + 1))
+    return judged.withColumn("bad_bound", bound).select("host", "pages", F.col("n").alias("labelled"), F.col("host_mean").alias("bad_mean"), "bad_bound", (F.col("bad_bound") > limit).alias("blocked"))
 
 
 def url_filter(pages: DataFrame, rules: list[Rule], suffixes: list[str] | None = None, z: float = 1.645, limit: float = 0.5) -> DataFrame:

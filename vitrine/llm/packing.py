@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import drop, extended, ship, texts_of, tokenizer_path, written
 
 CAPACITY = 2048
+#: Rows of a range, about: what a task has on its stack at most.
+RANGE = 1_000_000
 #: Distinct words kept by a Python worker.
 CACHE = 500_000
 
@@ -154,7 +156,7 @@ def new_bins(over: dict[int, int], capacity: int) -> int:
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     """pieces: id, size (under capacity). Returns id, bin, place: which bin each is in, and the tokens before it there."""
     spark = pieces.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     state, placed, bins = written(pieces.select(F.lit(True).alias("piece"), "id", "size"), "packing"), [], 0
     while True:
         counts = state.groupBy("piece", "size").count().collect()  # at most 2 x capacity rows
@@ -171,6 +173,7 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
         rows = state_now.withColumn("slots", slots.cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
         size = F.when(F.col("slot") > 1, F.lit(largest).cast("long")).otherwise(F.col("size") - largest * (F.col("slots") - 1))
         rows = rows.select("piece", "id", size.alias("size"), "slot")
+        ranges = max(tasks, -(-3 * many // RANGE))  # pieces, and slots of up to twice their number
         order = [F.desc("size"), F.asc("piece"), F.asc("id"), F.asc("slot")]
         swept = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep_range, _SWEPT), "packing")
         ends = {(r["range"], r["status"]): r["count"] for r in swept.filter("status != 'match'").groupBy("range", "status").count().collect()}

@@ -55,8 +55,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, langs: tuple[str, ...], epochs: int = 8, dims: int = 8, filters: int = 8, rate: float = 0.01, seed: int = 1) -> ByteNet:
-    """Adam on the cross-entropy; the gradient of a maximum goes to the place it was taken from."""
+def train(windows: np.ndarray, labels: np.ndarray, langs: tuple[str, ...], steps: int = 800, dims: int = 8, filters: int = 8, rate: float = 0.01, seed: int = 1) -> ByteNet:
+    """Adam on the cross-entropy, as many steps for few windows as for many; the gradient of a maximum goes to the place it was taken from."""
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.5, (256, dims)).astype(np.float32)
     banks = [rng.normal(0, 1 / np.sqrt(w * dims), (w, dims, filters)).astype(np.float32) for w in WIDTHS]
@@ -65,7 +65,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: tuple[str, ...], epoch
     params = [embedding, *banks, *shifts, out, bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = len(labels) / np.maximum(1, np.bincount(labels, minlength=len(langs))) / len(langs)
-    for _ in range(epochs):
+    for _ in range(-(-steps * 64 // len(labels))):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), 64):
             pick = order[at : at + 64]

@@ -141,7 +141,7 @@ def _ordered(docs: DataFrame) -> DataFrame:
     total = docs.count()
     ranges = max(1, -(-total // RANGE), min(total // SAMPLED, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     share = min(1.0, ranges * SAMPLED / max(1, total))
-    chosen = sorted(tuple(r) for r in rows.filter(F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "tie").collect())
+    chosen = sorted(tuple(r) for r in rows.filter(F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "tie").distinct().collect())
     bounds = sorted({chosen[len(chosen) * i // ranges] for i in range(1, ranges)}) if chosen else []
 
     @F.pandas_udf("int")

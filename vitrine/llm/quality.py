@@ -87,7 +87,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
 def fit(counts: np.ndarray, labels: np.ndarray, stands_for: np.ndarray, dims: int = DIMS, seed: int = 3) -> Neighbours:
     """stands_for: how many labelled rows each sampled one stands for."""
     idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + np.float32(0.1)
-    weighted = unit(counts * idf)
+    weighted = counts * idf
+    weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(seed)
     dims = max(1, min(dims, *weighted.shape))
     probe = weighted.T @ rng.normal(size=(len(weighted), min(len(weighted), dims + 16))).astype(np.float32)

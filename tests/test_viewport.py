@@ -134,6 +134,22 @@ def test_pushdown(spark, wide):
     assert s._counted(s.matches(cli.FilterExpr.parse("id >= 3"), [0]), 10**6, 4).count() == 0
 
 
+def test_statistics_rule_groups_out(spark, wide, tmp_path):
+    s = ParquetSource.open(spark, wide)
+
+    def groups(text, source=s):
+        return source.groups_that_might_match(cli.FilterExpr.parse(text))
+
+    assert groups("id == 25000") == [2] and groups("id >= 95000") == [9] and groups("id < 0") == [] and groups("id contains 1") == list(range(10))
+    assert groups("f > 14000") == [9] and groups("s == s1") == list(range(10)) and groups("s > t") == []
+    empty = s.filtered_frame("id < 0", 0, 5, [1])
+    assert empty.columns == ["big"] and empty.count() == 0
+    nested = ParquetSource.open(spark, write(tmp_path / "n.parquet", pa.table({"x": [1], "st": [{"a": 1, "b": 2}]})))
+    assert groups("x == 9", nested) == [0]
+    unsigned = ParquetSource.open(spark, write(tmp_path / "u.parquet", pa.table({"x": pa.array([1, 2**32 - 1], pa.uint32())})))
+    assert groups("x > 5", unsigned) == [0]
+
+
 def test_many_files(spark, tmp_path):
     for i in range(3):
         write(tmp_path / f"part-{i} +%.parquet", pa.table({"id": range(i * 5, i * 5 + 5)}), 2)

@@ -98,6 +98,12 @@ def row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _open(spark, sf_dir, "lineitem").row_group_frame()
 
 
+@_query("groups_that_might_match", "SELECT 0 AS index FROM orders WHERE o_orderkey = 1")
+def groups_that_might_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _open(spark, sf_dir, "orders").groups_that_might_match(FilterExpr.parse("o_orderkey <= 1"))
+    return spark.createDataFrame([(i,) for i in found], "index int")
+
+
 @_query("metadata", "SELECT (SELECT count(*) FROM orders) AS row_count, 6::BIGINT AS column_count")
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _open(spark, sf_dir, "orders")

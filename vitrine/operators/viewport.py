@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from vitrine.errors import ViewError
 from vitrine.operators.pagecache import DataPage, PageCache, PageCacheLimits, PageKey
-from vitrine.plans.predicate import FilterExpr
+from vitrine.plans.predicate import FilterExpr, might_match
 from vitrine.plans.projection import Projection
 from vitrine.plans.window import FetchRequest, RowWindow
 from vitrine.sources.footer import DatasetMetadata, RowGroup, read_footers
@@ -129,12 +129,27 @@ class ParquetSource:
                 raise ViewError(f"{names[i]} has a type that filtered windows can't read: {self.schema.field(i).type}")
         return self.scan().filter(condition).select(*(quoted(names[i]) for i in projection.indexes), POSITION)
 
+    def groups_that_might_match(self, expr: FilterExpr) -> list[int]:
+        """Row groups that their statistics don't rule out. Without statistics, or with columns inside others, none is."""
+        column = expr.column_index(self.schema.names)
+        kind, found = self.schema.field(column).type, []
+        for part, footer in zip(self.parts, self.footers, strict=True):
+            flat = footer.num_columns == self.column_count
+            for g in range(footer.num_row_groups):
+                stats = footer.row_group(g).column(column).statistics if flat else None
+                low, high = (stats.min, stats.max) if stats is not None and stats.has_min_max else (None, None)
+                if might_match(expr, kind, low, high):
+                    found.append(part.first_group + g)
+        return found
+
     def filtered_frame(self, expr: FilterExpr | str, first_match: int, row_count: int, columns: Sequence[int] | Projection | None = None) -> DataFrame:
         expr = FilterExpr.parse(expr) if isinstance(expr, str) else expr
         if row_count == 0:
             projection = self.projection(columns)
             return self.spark.createDataFrame([], spark_schema(pa.schema([self.schema.field(i) for i in projection.indexes])))
         found = self.matches(expr, columns)
+        if not self.groups_that_might_match(expr):
+            return found.limit(0).drop(POSITION)
         if first_match + row_count > COUNTED_FROM:
             return self._counted(found, first_match, row_count)
         return found.orderBy(POSITION).offset(first_match).limit(row_count).drop(POSITION)

@@ -93,12 +93,18 @@ class Trainer:
     """Windows as bags of buckets; embeddings and softmax under AdaGrad."""
 
     def __init__(self, data: np.ndarray, ends: np.ndarray, labels: np.ndarray, dims: int, seed: int) -> None:
-        found, starts, self.of = grams(data, ends)
-        place = np.concatenate([np.flatnonzero(real) for _, real in found])
-        bucket = np.concatenate([b[real] for b, real in found])
-        window = np.searchsorted(starts, place, side="right") - 1
-        order = np.argsort(window, kind="stable")
-        self.bags, self.bounds = bucket[order], np.searchsorted(window[order], np.arange(len(starts) + 1))
+        bags, sizes, of = [], [], []
+        for first, last in spans(ends, 1 << 18):  # in parts: places and buckets of all at once would fill the driver's memory
+            found, starts, text = grams(data, ends[first : last + 1])
+            place = np.concatenate([np.flatnonzero(real) for _, real in found])
+            window = (np.searchsorted(starts, place, side="right") - 1).astype(np.int32)
+            inside = window >= 0
+            bucket = np.concatenate([b[real] for b, real in found])[inside]
+            bags.append(bucket[np.argsort(window[inside], kind="stable")])
+            sizes.append(np.bincount(window[inside], minlength=len(starts)))
+            of.append(text + first)
+        self.bags, self.of = np.concatenate([np.zeros(0, np.int32), *bags]), np.concatenate([np.zeros(0, int), *of])
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, int), *sizes]))]).astype(np.int64)
         self.labels, self.rng = labels, np.random.default_rng(seed)
         self.embedding = self.rng.uniform(-1, 1, (BUCKETS, dims)).astype(np.float32) / dims
         self.out, self.bias = self.rng.normal(0, 1, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -127,6 +133,15 @@ class Trainer:
             s += g**2
             p -= rate * g / np.sqrt(s)
 
+    def logits(self, block: int = 20_000) -> np.ndarray:
+        """Of all windows, under the parameters as they are."""
+        model, out = self.model(), []
+        for i in range(0, len(self.of), block):
+            bounds = self.bounds[i : i + block + 1]
+            total = np.concatenate([[0.0], np.cumsum(model.pull[self.bags[bounds[0] : bounds[-1]]], dtype=np.float64)])
+            out.append(np.diff(total[bounds - bounds[0]]) / np.maximum(1, np.diff(bounds)) + model.bias)
+        return np.concatenate([np.zeros(0), *out])
+
     def model(self) -> Subwords:
         return Subwords((self.embedding @ (self.out[:, 1] - self.out[:, 0])).astype(np.float32), float(self.bias[1] - self.bias[0]))
 
@@ -137,8 +152,7 @@ def train(data: np.ndarray, ends: np.ndarray, labels: np.ndarray, dims: int = 8,
         if r < warm:
             pick = t.rng.permutation(len(t.of))
         else:
-            logits = window_logits(t.model(), data, ends)[0]
-            order = np.lexsort((logits, t.of))
+            order = np.lexsort((t.logits(), t.of))
             last = np.flatnonzero(np.append(np.diff(t.of[order]) != 0, True))
             pick = t.rng.permutation(order[last])
         for i in range(0, len(pick), 64):

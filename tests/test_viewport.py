@@ -11,7 +11,7 @@ from vitrine import catalog, cli
 from vitrine.errors import ViewError
 from vitrine.functions.cells import format_cell, format_column, truncated, type_name
 from vitrine.functions.render import render
-from vitrine.operators import explore
+from vitrine.operators import explore, viewport
 from vitrine.operators.pagecache import DataPage, PageCache, PageCacheLimits, PageKey
 from vitrine.operators.viewport import ParquetSource, quoted
 from vitrine.plans.projection import Projection
@@ -150,13 +150,15 @@ def test_statistics_rule_groups_out(spark, wide, tmp_path):
     assert groups("x > 5", unsigned) == [0]
 
 
-def test_many_files(spark, tmp_path):
+def test_many_files(spark, tmp_path, monkeypatch):
     for i in range(3):
         write(tmp_path / f"part-{i} +%.parquet", pa.table({"id": range(i * 5, i * 5 + 5)}), 2)
     s = ParquetSource.open(spark, str(tmp_path))
     assert s.row_count == 15 and len(s.row_groups) == 9
     assert ids(s.read_window(4, 3)) == [4, 5, 6]
     assert ids(s.read_filtered_window("id != 6", 5, 3)) == [5, 7, 8]
+    monkeypatch.setattr(viewport, "MOST_GROUPS", 1)
+    assert ids(s.read_window(4, 8)) == list(range(4, 12)) and ids(s.read_window(6, 3)) == [6, 7, 8]
 
 
 NUMBERS = [1.0, -0.0, 0.0, math.nan, math.inf, -math.inf, 2.5, None]

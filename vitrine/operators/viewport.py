@@ -19,13 +19,15 @@ from vitrine.operators.pagecache import DataPage, PageCache, PageCacheLimits, Pa
 from vitrine.plans.predicate import FilterExpr, might_match
 from vitrine.plans.projection import Projection
 from vitrine.plans.window import FetchRequest, RowWindow
-from vitrine.sources.footer import DatasetMetadata, RowGroup, read_footers
+from vitrine.sources.footer import DatasetMetadata, FilePart, RowGroup, read_footers
 from vitrine.sources.rowgroups import POSITION, read_groups
 from vitrine.sources.types import loadable, spark_schema
 
 #: Above so many rows to pass over and return, matches are counted by runs of rows first, instead of sorting all that come before.
 COUNTED_FROM = 200_000
 RUN = 1 << 20
+#: Windows of more row groups than this are read by Spark's own scan of the files that they are in.
+MOST_GROUPS = 4096
 
 
 def quoted(name: str) -> Column:
@@ -74,7 +76,12 @@ class ParquetSource:
         """The window as a DataFrame in file order, with its projection."""
         projection = self.projection(columns)
         window = RowWindow(first_row, row_count).clipped(self.row_count)
-        rows = read_groups(self.spark, self.metadata, self.parts, window, projection.indexes)
+        if len(self.metadata.overlapping(window.first_row, window.row_count)) > MOST_GROUPS and all(loadable(self.schema.field(i).type) for i in projection.indexes):
+            parts = [p for p in self.parts if p.first_row < window.end and p.first_row + p.row_count > window.first_row]
+            rows = self.scan(parts).filter((F.col(POSITION) >= window.first_row) & (F.col(POSITION) < window.end))
+            rows = rows.select(*(quoted(n) for n in projection.names(self.schema.names)), POSITION)
+        else:
+            rows = read_groups(self.spark, self.metadata, self.parts, window, projection.indexes)
         return rows.orderBy(POSITION).drop(POSITION)
 
     def read_window(self, first_row: int, row_count: int, columns: Sequence[int] | Projection | None = None) -> pa.Table:
@@ -100,8 +107,9 @@ class ParquetSource:
 
     # scans
 
-    def scan(self) -> DataFrame:
-        """All columns that Spark's reader has a type for, and POSITION."""
+    def scan(self, parts: list[FilePart] | None = None) -> DataFrame:
+        """All columns that Spark's reader has a type for, and POSITION, of all files or of some."""
+        parts = parts or self.parts
         fields = [f for f in self.schema if loadable(f.type)]
         if len({f.name.lower() for f in fields}) < len(fields):
             self.spark.conf.set("spark.sql.caseSensitive", "true")  # else such names can't be told apart
@@ -110,11 +118,11 @@ class ParquetSource:
         reader = self.spark.read
         if len(fields) < self.column_count:
             reader = reader.schema(StructType(spark_schema(pa.schema(fields)).fields))
-        rows = reader.parquet(*(p.path for p in self.parts))
+        rows = reader.parquet(*(p.path for p in parts))
         place = F.col("_metadata.row_index")
-        if len(self.parts) == 1:
-            return rows.select("*", place.alias(POSITION))
-        firsts = self.spark.createDataFrame([(p.path, p.first_row) for p in self.parts], "__file string, __first long")  # a row per file
+        if len(parts) == 1:
+            return rows.select("*", (place + parts[0].first_row).alias(POSITION))
+        firsts = self.spark.createDataFrame([(p.path, p.first_row) for p in parts], "__file string, __first long")  # a row per file
         file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
         return rows.select("*", place.alias("__place"), file.alias("__path")).join(F.broadcast(firsts), F.col("__path") == F.col("__file")).withColumn(POSITION, F.col("__first") + F.col("__place")).drop("__place", "__path", "__file", "__first")
 

@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -152,17 +153,20 @@ def _ordered(docs: DataFrame) -> DataFrame:
     used = sorted(firsts)
     before = {firsts[r]: used[i - 1] for i, r in enumerate(used)}
 
-    @F.pandas_udf("array<int>")
-    def places(key: pd.Series, tie: pd.Series) -> pd.Series:
-        """2 x range, and 2 x range + 1 for the copy at another's end."""
-        found = []
-        for x in zip(key.tolist(), tie.tolist(), strict=True):
-            own = [2 * bisect.bisect_right(bounds, x)]
-            found.append([*own, 2 * before[x] + 1] if x in before else own)
-        return pd.Series(found)
+    def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are compressed one by one, which halves what is shuffled."""
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in parts:
+            keys = list(zip(batch["key"].to_pylist(), batch["tie"].to_pylist(), strict=True))
+            packed = pa.array([pack.compress(t.encode(errors="surrogatepass")) for t in texts_of(batch["text"])], pa.binary())
+            ranges = [bisect.bisect_right(bounds, x) for x in keys]
+            again = [i for i, x in enumerate(keys) if x in before]
+            at = pa.array([*range(len(keys)), *again], pa.int64())
+            place = pa.array([*ranges, *(before[keys[i]] for i in again)], pa.int32())
+            copy = pa.array([0] * len(keys) + [1] * len(again), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), packed.take(at), batch["key"].take(at), batch["tie"].take(at), place, copy], names=["doc_id", "packed", "key", "tie", "range", "copy"])
 
-    rows = rows.withColumn("place", F.explode(places("key", "tie")))
-    return rows.select("doc_id", "text", "key", "tie", (F.col("place") / 2).cast("int").alias("range"), (F.col("place") % 2).alias("copy"))
+    return rows.mapInArrow(deal, extended(docs.select("doc_id").schema, "packed binary, key long, tie long, range int, copy int"))
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -174,11 +178,12 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Lexicon(held.value)
+        words, unpack = Lexicon(held.value), zstandard.ZstdDecompressor()
         last = None  # range, text, fingerprint, id of the row that waits for the next
         for batch in parts:
             ids, rows = [], []
-            for i, (text, at, copy) in enumerate(zip(texts_of(batch["text"]), batch["range"].to_pylist(), batch["copy"].to_pylist(), strict=True)):
+            for i, (text, at, copy) in enumerate(zip(batch["packed"], batch["range"].to_pylist(), batch["copy"].to_pylist(), strict=True)):
+                text = unpack.decompress(text.as_py()).decode(errors="surrogatepass")
                 own = words.fingerprint(text)
                 if last and last[0] == at:
                     _, before, its, key = last

@@ -93,6 +93,28 @@ def test_pack_is_near_the_least(spark, tokenizer):
     assert n <= 1.03 * -(-tokens // 64)
 
 
+def test_rounds_in_one_task_have_the_same_outcome(spark, monkeypatch):
+    rng = random.Random(7)
+    sizes = spark.createDataFrame([(i, rng.choice((1, 1, 2, rng.randint(1, 63)))) for i in range(700)], "id long, size long")
+    together = sorted(map(tuple, packing.best_fit(sizes, 64).collect()))
+    monkeypatch.setattr(packing, "FINISH", 200)
+    assert sorted(map(tuple, packing.best_fit(sizes, 64).collect())) == together
+    monkeypatch.setattr(packing, "FINISH", -1)
+    assert sorted(map(tuple, packing.best_fit(sizes, 64).collect())) == together
+    total = sum(r["size"] for r in sizes.collect())
+    assert len({r[1] for r in together}) <= 1.02 * -(-total // 64) + 1
+
+
+@given(st.lists(st.integers(1, 99), max_size=60))
+def test_all_rounds(sizes):
+    found = list(packing.all_rounds([(s, i) for i, s in enumerate(sizes)], {}, 0, 100))
+    assert sorted((i, s) for i, s, _, _ in found) == list(enumerate(sizes))
+    used = defaultdict(int)
+    for _, size, to, _ in found:
+        used[to] += size
+    assert all(n <= 100 for n in used.values())
+
+
 def test_best_fit_of_equal_sizes(spark):
     sizes = spark.range(5000).selectExpr("id", "1L AS size")
     assert packing.best_fit(sizes, 100).select("bin").distinct().count() == 50

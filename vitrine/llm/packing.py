@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +37,8 @@ from vitrine.llm.common import drop, extended, ship, texts_of, tokenizer_path, w
 CAPACITY = 2048
 #: Rows of a range, about: what a task has on its stack at most.
 RANGE = 1_000_000
+#: Up to so many pieces and gaps, one task does the rounds that are left: with one range they have the same outcome, without the jobs.
+FINISH = 100_000
 #: Distinct words kept by a Python worker.
 CACHE = 500_000
 
@@ -149,8 +152,39 @@ def meet(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, i
 
 
 def new_bins(over: dict[int, int], capacity: int) -> int:
-    """How many sequences pieces need at least; over: how many there are by size."""
-    return max(sum(n for size, n in over.items() if 2 * size > capacity), -(-sum(size * n for size, n in over.items()) // capacity)) if over else 0
+    """How many sequences to open: one for each piece over half of one, and nine tenths of what the tokens need at least; over: how many pieces there are by size.
+
+    The last tenth is opened once it is known what fits into the gaps of the others."""
+    large = sum(n for size, n in over.items() if 2 * size > capacity)
+    return max(large, -(-9 * sum(size * n for size, n in over.items()) // (10 * capacity)))
+
+
+def most_slots(pieces: int, gaps: int) -> int:
+    """Slots of a gap: more than there are pieces would be idle."""
+    return max(1, -(-2 * pieces // max(1, gaps)))
+
+
+def all_rounds(pieces: list[tuple[int, int]], gaps: dict[int, int], bins: int, capacity: int) -> Iterator[tuple[int, int, int, int]]:
+    """The rounds in memory. pieces: (size, id); gaps: size by bin; bins: the first unused. Yields (id, size, bin, round)."""
+    number = 0
+    while pieces:
+        widest, least, largest = max(gaps.values(), default=0), min(pieces)[0], max(pieces)[0]
+        opened = new_bins(Counter(size for size, _ in pieces if size > widest), capacity)
+        gaps |= dict.fromkeys(range(bins, bins + opened), capacity)
+        bins += opened
+        most = most_slots(len(pieces), len(gaps))
+        rows = [(-size, True, key, 1) for size, key in pieces]
+        for key, size in gaps.items():
+            slots = max(1, min(most, size // largest))
+            rows += [(-largest if slot > 1 else largest * (slots - 1) - size, False, key, slot) for slot in range(1, slots + 1)]
+        rows.sort()
+        matches, left, _ = sweep((-size, piece, key) for size, piece, key, _ in rows)
+        for key, size, to in matches:
+            gaps[to] -= size
+            yield key, size, to, number
+        pieces = [(size, key) for key, size in left]
+        gaps = {key: size for key, size in gaps.items() if size >= least}
+        number += 1
 
 
 def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -164,11 +198,14 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
         if not left:
             break
         largest, many = max(left), sum(left.values())
+        if many + sum(gaps.values()) <= FINISH:
+            placed.append(written(_finished(state, bins, len(placed), capacity), "packing"))
+            break
         opened = new_bins({size: n for size, n in left.items() if size > max(gaps, default=0)}, capacity)
         fresh = spark.range(bins, bins + opened).select(F.lit(False).alias("piece"), "id", F.lit(capacity).cast("long").alias("size"))
         bins += opened
         state_now = state.unionByName(fresh)
-        most = max(1, -(-2 * many // max(1, sum(gaps.values()) + opened)))  # slots of a gap: more than there are pieces would be idle
+        most = most_slots(many, sum(gaps.values()) + opened)
         slots = F.when(F.col("piece"), 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("size") / largest))))
         rows = state_now.withColumn("slots", slots.cast("int")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("slots"))))
         size = F.when(F.col("slot") > 1, F.lit(largest).cast("long")).otherwise(F.col("size") - largest * (F.col("slots") - 1))
@@ -198,6 +235,16 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
     return whole.select("id", "bin", place.alias("place"))
 
 
+def _finished(state: DataFrame, bins: int, rounds: int, capacity: int) -> DataFrame:
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [row for b in parts for row in zip(b["piece"].to_pylist(), b["size"].to_pylist(), b["id"].to_pylist(), strict=True)]
+        found = list(all_rounds([(size, key) for piece, size, key in table if piece], {key: size for piece, size, key in table if not piece}, bins, capacity))
+        key, size, to, number = zip(*found, strict=True) if found else ((),) * 4
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, size, to)), pa.array([rounds + n for n in number], pa.int32())], names=["id", "size", "bin", "round"])
+
+    return state.coalesce(1).mapInArrow(run, "id long, size long, bin long, round int")
+
+
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, a row per piece."""
     ship(docs.sparkSession)

@@ -133,3 +133,33 @@ def test_keep_one(spark, edges, edge_rows, nothing):
     # 1 and 2 have the same text, and so have those without words: 3, 4, 6 and a null id; "..." is a word
     assert sorted(i for i in ids if i and i < 70) == [1, 1, 3, 7, 8, 9, 10, 11] and ids.count(None) == 1
     assert simhash.keep_one(nothing).count() == 0
+
+
+def test_keep_one_decides_at_the_similarity_itself(spark):
+    rng = random.Random(8)
+    fresh = (f"x{i}" for i in range(1 << 20))
+    rows, expected = [], set()
+    for pair in range(60):
+        # of n shingles a replaced word takes 5: k of them leave (n - 5 k) / (n + 5 k), 0.8 for k = n / 45
+        k, alike = rng.randint(4, 8), pair < 40
+        n = 45 * k if alike else 45 * k - 2
+        base = [next(fresh) for _ in range(n + 4)]
+        near = list(base)
+        for i in range(k):
+            near[20 + i * (n // k - 1)] = next(fresh)
+        a, b = ({tuple(w[i : i + 5]) for i in range(n)} for w in (base, near))
+        assert (len(a & b) / len(a | b) >= 0.8) == alike and len(a & b) / len(a | b) > 0.79
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(near))]
+        expected |= {2 * pair} if alike else {2 * pair, 2 * pair + 1}
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == expected
+
+
+def test_nearest_within_the_radius():
+    codes = clustered(random.Random(3), 300, 60, 4)
+    a, b = simhash.nearest(codes, 44, 8)
+    links = set(map(tuple, np.stack([a, b], 1).tolist()))
+    for i, code in enumerate(codes):
+        apart = np.sort(np.delete(simhash.different(codes, code), i))[:8]
+        own = sorted(int(simhash.different(codes[x], code)) for at, x in links if at == i)
+        assert own == [x for x in apart if x <= 44]

@@ -9,7 +9,7 @@ In a bucket, fingerprints are sorted by Gray rank, so that neighbours share bits
 upper nodes; each has a mask of the bits that all of it shares and the pattern there. A search from the top adds up
 where it differs from the patterns and leaves out every group whose sum is over the limit. What is found links at once and is left out of
 later searches, so that a group of n near copies gives n - 1 links, not all pairs. Links make components by large-star and small-star
-rounds.
+rounds. Where a similarity is asked for, links are candidates, more of them are taken, and each is verified on the sets of shingles first.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any others. A null id is
 never the smallest of its component; a component without ids has a null one. Repeated rows are returned each. Tables may be
@@ -35,6 +35,10 @@ BUCKET = 4096
 RUN = 16
 #: Up to so many, a bucket's pairs are compared outright.
 FEW = 24
+#: Candidates of a class in a larger bucket, besides those of the search.
+NEAREST = 8
+#: Up to so many classes with candidates, the rows with their texts are picked by a broadcast.
+BROADCAST = 1_000_000
 
 
 def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
@@ -152,6 +156,25 @@ def few_linked(codes: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, radius:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def nearest(codes: np.ndarray, radius: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each code to the count nearest ones within the radius, of the up to BUCKET about it in Gray order."""
+    order = gray_order(codes)
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+    for start in range(0, len(codes), BUCKET):
+        near = codes[order[start : start + BUCKET]]
+        if len(near) <= count:
+            continue
+        for at in range(0, len(near), 128):
+            apart = different(near[at : at + 128, None], near[None])
+            own = np.arange(len(apart))
+            apart[own, at + own] = radius + 1
+            best = np.argpartition(apart, count - 1, axis=1)[:, :count]
+            row, column = np.nonzero(np.take_along_axis(apart, best, 1) <= radius)
+            a.append(order[start + at + row])
+            b.append(order[start + best[row, column]])
+    return np.concatenate(a), np.concatenate(b)
+
+
 def blocks_of(mask: int, parts: int = 4) -> list[int]:
     """Masks that join to the given one a block of the other bits each."""
     rest = [i for i in range(BITS) if not mask >> i & 1]
@@ -163,7 +186,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _search(radius: int, parts: int, again: bool):
+def _search(radius: int, parts: int, again: bool, count: int = 0):
+    """count: how many nearest ones in a large bucket each class is linked with besides."""
     names = [f"f{i}" for i in range(parts)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +212,9 @@ def _search(radius: int, parts: int, again: bool):
                     continue
                 pairs = np.array(linked(codes[s : s + n], radius), int).reshape(-1, 2) + s
                 yield out("link", ids[pairs[:, 0]], ids[pairs[:, 1]])
+                if count:
+                    a, b = nearest(codes[s : s + n], radius, count)
+                    yield out("link", ids[s + a], ids[s + b])
 
         held = None
         for batch in batches:
@@ -208,7 +235,7 @@ def _search(radius: int, parts: int, again: bool):
 def class_links(classes: DataFrame, parts: int, masks: list[list[int]], radius: int, exact: bool) -> DataFrame:
     """classes: id, f0 ...; masks: of each, a number for each part. Returns a, b: ids of linked classes, enough to join all that chains of links join.
 
-    exact: the masks are the blocks of one part, so that large buckets can be dealt anew."""
+    exact: the masks are the blocks of one part, so that large buckets can be dealt anew. If not, what is returned are candidates."""
     names = [f"f{i}" for i in range(parts)]
 
     def pattern(mask: list[int]):
@@ -220,7 +247,7 @@ def class_links(classes: DataFrame, parts: int, masks: list[list[int]], radius:
     links, level = [], 0
     while True:
         again = exact and level < 2
-        swept = written(rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_search(radius, parts, again), "kind string, a long, b long"), "links")
+        swept = written(rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_search(radius, parts, again, 0 if exact else NEAREST), "kind string, a long, b long"), "links")
         links.append(swept.filter("kind = 'link'").select("a", "b"))
         level += 1
         if not again or swept.filter("kind = 'again'").isEmpty():
@@ -255,14 +282,59 @@ def components(links: DataFrame) -> DataFrame:
         before = mark
 
 
-def grouped(docs: DataFrame, words: int, parts: int, masks: list[list[int]], radius: int, exact: bool, repeats: bool = True) -> DataFrame:
-    """doc_id, content, f0 ..., group (one number for all that chains of links reach) and component_id, the smallest id of the group."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """texts: id, n, text. Returns id, n, set: the different hashes of the text's shingles in order, 8 bytes each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)])).tobytes() for text in texts_of(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], pa.array(sets, pa.binary())], names=["id", "n", "set"])
+
+    return texts.select("id", "n", "text").mapInArrow(run, "id long, n long, set binary")
+
+
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two sets of shingle_sets() have a Jaccard similarity of least or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-6:
+        return False
+    shared = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    return shared >= least * ((len(a) + len(b)) // 8 - shared) - 1e-9
+
+
+def verified(links: DataFrame, contents: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """links: a, b; contents: id, content of each class. Returns those of the links whose texts' sets of shingles are similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(x.as_buffer(), y.as_buffer(), least) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).join(contents, "id"), "ends")
+    texts, few = docs.select(F.xxhash64("text").alias("content"), "text"), ends.count() <= BROADCAST
+    if few:
+        texts = texts.join(F.broadcast(ends.select("content")), "content", "left_semi")
+    texts = texts.groupBy("content").agg(F.first("text").alias("text"))  # of copies, each task sends one
+    sets = written(shingle_sets(texts.join(F.broadcast(ends) if few else ends, "content"), words), "sets")
+    sides = pairs
+    for end in ("a", "b"):
+        sides = looked_up(sides, end, sets.select(F.col("id").alias(end), "n", F.col("set").alias(f"set_{end}")))
+    return written(sides.mapInArrow(run, "a long, b long"), "links")
+
+
+def grouped(docs: DataFrame, words: int, parts: int, masks: list[list[int]], radius: int, exact: bool, repeats: bool = True, least: float | None = None) -> DataFrame:
+    """doc_id, content, f0 ..., group (one number for all that chains of links reach) and component_id, the smallest id of the group.
+
+    least: the similarity of the sets of shingles that a link must have; without one, the radius decides."""
     names = [f"f{i}" for i in range(parts)]
     prints = written(fingerprints(docs, words, parts, repeats), "fingerprints")
     key = F.col("f0") if parts == 1 else F.xxhash64(*names)  # classes of equal fingerprints
     prints = prints.withColumn("id", key)
-    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
-    roots = components(class_links(classes.select("id", *names), parts, masks, radius, exact))
+    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
+    links = class_links(classes.select("id", *names), parts, masks, radius, exact)
+    if least is not None:
+        links = verified(links, classes.select("id", "content"), docs, words, least)
+    roots = components(links)
     known = written(classes.join(roots, "id", "left").select("id", "n", "first", F.coalesce("root", "id").alias("group")), "classes")
     firsts = known.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
     named = looked_up(known, "group", firsts).select("id", "n", "group", F.coalesce("component_id", "first").alias("component_id"))
@@ -282,18 +354,19 @@ def random_masks(parts: int, bits: int, count: int, seed: int = 11) -> list[list
     return [[sum(1 << int(b % BITS) for b in mask if b // BITS == part) for part in range(parts)] for mask in drawn]
 
 
-#: For similarity 0.8 of the sets of shingles: the cosine is about 0.89, and 15 % of the bits differ, give or take 2 %. A bucket is of the
-#: classes that are equal in MASK_BITS drawn bits; such a pair meets in one of MASKS buckets with a chance of 0.97.
-SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MASKS = 4, 44, 20, 96
+#: For similarity 0.8 of the sets of shingles: the cosine is about 0.89, and 15 % of the bits differ, give or take 2 %; by the binomial model, more
+#: than the radius with a chance of 0.0003. A bucket is of the classes that are equal in MASK_BITS drawn bits; such a pair meets in one of MASKS buckets with a
+#: chance of 0.999. What meets within the radius is a candidate and is verified.
+SIMILAR, SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MASKS = 0.8, 4, 58, 18, 128
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs, all columns, with one row of each group of near-duplicates: shingles of five words, sets of similarity 0.8 or more.
 
-    A bit of a fingerprint differs with the angle between two sets, so that the limit is one of 44 of 256 bits. The row that stays is the one with the
+    A bit of a fingerprint differs with the angle between two sets, so that candidates are within a radius of 256 bits; their sets decide. The row that stays is the one with the
     smallest id that isn't null, of several such the one whose text has the smallest hash."""
     masks = random_masks(SIMILAR_PARTS, MASK_BITS, MASKS)
-    found = grouped(docs, words, SIMILAR_PARTS, masks, SIMILAR_RADIUS, exact=False, repeats=False)
+    found = grouped(docs, words, SIMILAR_PARTS, masks, SIMILAR_RADIUS, exact=False, repeats=False, least=SIMILAR)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content"))
     kept = found.groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias("vitrine_id"), F.col("kept.content").alias("vitrine_content"))
     left = docs.withColumn("vitrine_text", F.xxhash64("text"))

@@ -99,3 +99,38 @@ def test_blocks_of_seeds(spark, monkeypatch):
     whole = sorted(map(tuple, d.overlaps(rows, bench).collect()))
     monkeypatch.setattr(d, "BLOCK", 700)
     assert sorted(map(tuple, d.overlaps(rows, bench).collect())) == whole
+
+
+def test_every_passage_that_counts_is_found(spark):
+    """Against all alignments, without masks: regular and random replacements."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate((15, 23, 40, 100))]
+    docs = []
+    for _, text in items:
+        its = text.split()
+        patterns = [range(start, len(its), step) for step in (3, 4, 5, 6, 7) for start in range(step)]
+        patterns += [rng.sample(range(23), rng.randint(1, 7)) for _ in range(30)]
+        for replaced in map(set, patterns):
+            docs.append((len(docs), " ".join("changed" if p in replaced else w for p, w in enumerate(its if rng.random() < 0.5 else its[:23]))))
+    expected = set()
+    for key, text in docs:
+        own = text.split()
+        for i, its in ((i, t.split()) for i, t in items):
+            if best_run(own, its[: len(own)]) >= d.LEAST if len(own) <= len(its) else False:
+                expected.add((key, i))
+    rows, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in d.overlaps(rows, bench, counted=d.COUNTED).collect()}
+    assert set(found) == expected
+    assert 100 < len(expected) < len(docs) and any(r["hits"] == 0 for r in found.values())
+
+
+def test_masks_leave_no_short_pattern():
+    """All places of up to four replaced words in the shortest passages that count, by each mask's positions."""
+    from itertools import combinations
+    from math import ceil
+
+    seeds = [[p for p, c in enumerate(mask) if c == "1"] for mask in d.MASKS]
+    for replaced in range(1, 5):
+        n = replaced + ceil(d.LEAST + d.MISMATCH * replaced)
+        for places in combinations(range(n), replaced):
+            assert any(not {at + p for p in seed} & set(places) for at in range(n - d.SPAN + 1) for seed in seeds)

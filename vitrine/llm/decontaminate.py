@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import written
 
 #: The positions of a window that a seed looks at.
-MASKS = ("1101100111", "1110010111", "1011011011")
+MASKS = ("1101100111", "1110010111", "1011011011", "1110101001", "1000110111", "1101011100", "0010101111", "1111110000", "0110100111")
+#: The query's hits and first word are those of so many masks, as in its SQL. The others are there so that every passage that counts LEAST
+#: within 23 words (six of them replaced, wherever) has a hit inside it.
+COUNTED = 3
 SPAN = 10
 SHORTEST = 5
 MISMATCH = 1.5
@@ -70,10 +73,12 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", word_hashes(F.col("text")).alias("item_hashes")).groupBy("item_hashes").agg(F.min("item_id").alias("item_id"), F.count("*").alias("items")).filter(F.size("item_hashes") >= SHORTEST)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None, counted: int | None = None) -> DataFrame:
     """docs: doc_id, text, and what else keys names; benchmark: item_id, text.
 
-    Returns doc_id (or keys), item_id, items (how many have the item's words), item_words, hits, score (the best run), and first_word: where the first hit is."""
+    Returns doc_id (or keys), item_id, items (how many have the item's words), item_words, hits, score (the best run), and first_word: where the first hit is.
+
+    counted: hits and first_word are of so many masks (and whole seeds) alone; where only others hit, hits is 0 and first_word of them."""
     keys = keys or ["doc_id"]
     items = benchmark_items(benchmark)
     counts = items.agg(F.collect_set(F.when(F.size("item_hashes") < SPAN, F.size("item_hashes"))).alias("short"), F.sum(F.size("item_hashes") * len(MASKS)).alias("seeds")).first()  # at most SPAN lengths
@@ -92,9 +97,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = Non
         first = F.greatest(F.col("item_at") - REACH, -shift, F.lit(0))
         last = F.least(F.col("item_at") + SPAN + REACH, F.size("hashes") - shift, F.size("item_hashes"))
         score = F.when(size < SPAN, size.cast("double")).otherwise(_best_run(first, last, shift))
-        scored = hits.select(*keys, "item_id", "items", size.alias("item_words"), "at", score.alias("score"))
+        counts = (F.col("seed") < (len(MASKS) if counted is None else counted)) | (F.col("seed") >= len(MASKS))
+        scored = hits.select(*keys, "item_id", "items", size.alias("item_words"), "at", counts.alias("counts"), score.alias("score"))
         # every hit of a pair is in the same task: most is added up before the shuffle
-        pairs = scored.groupBy(*keys, "item_id", "items", "item_words").agg(F.count("*").alias("hits"), F.max("score").alias("score"), F.min("at").cast("long").alias("first_word"))
+        pairs = scored.groupBy(*keys, "item_id", "items", "item_words").agg(F.count(F.when(F.col("counts"), 1)).alias("hits"), F.max("score").alias("score"), F.coalesce(F.min(F.when(F.col("counts"), F.col("at"))), F.min("at")).cast("long").alias("first_word"))
         found.append(pairs.filter((F.col("score") >= LEAST) | (F.col("item_words") < SPAN)))
     return reduce(DataFrame.unionByName, found)
 

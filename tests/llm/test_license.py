@@ -52,3 +52,20 @@ def test_scan(spark, edges, edge_rows, nothing):
     empty = next(r for r in found if r["doc_id"] == 3)
     assert tuple(empty)[1:8] == (0, 0, None, None, "", "", 0.0)
     assert license.scan(nothing).count() == 0
+
+
+def test_a_wrap_loses_no_notice(spark):
+    texts, labels = [], []
+    for label, template in license.TEMPLATES:
+        w = template.split()
+        for cut in range(1, len(w)):
+            texts.append(f"/* Some file\n *\n * {' '.join(w[:cut])}\n * {' '.join(w[cut:])}.\n */")
+            labels.append(label)
+        texts.append("x y\n" * 30 + "\n".join(w) + "\nx y" * 30)
+        labels.append(label)
+    cut = "released under\n\nthe mit license\n", "Released under. The MIT license", "released under.\nthe mit license"
+    docs = spark.createDataFrame(list(enumerate([*texts, *cut])), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in license.scan(docs).collect()}
+    for i, label in enumerate(labels):
+        assert label in found[i]["labels"].split(",") and found[i]["score"] == 1.0
+    assert all(found[len(labels) + i]["labels"] == "" for i in range(len(cut)))

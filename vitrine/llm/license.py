@@ -1,6 +1,8 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a sentence: what a line break, or a full stop, exclamation or question mark with a space, ends) meets a template if it contains at least `threshold` of the template's distinct words.
+A block (what a line break, or a full stop, exclamation or question mark with a space, ends) meets a template if it contains at least `threshold` of the template's distinct words.
+A notice may be wrapped: the lines of a sentence, which a line without words ends too, are also joined, and windows of twice the words of the
+longest template, each half over the next, are blocks as well. Any run of as many words as that template has is in one.
 The join filters exactly: words are ordered by the number of documents of the corpus that they are in, the rarest
 first; a block that meets a template of s words, t of them needed, has at least one of the template's first
 s - t + 1 words (prefix filter), at least t distinct words (length filter), and, where the i-th word of the template
@@ -77,6 +79,14 @@ def met(index: Index, block: set[bytes]) -> dict[int, float]:
     return out
 
 
+def windows(lines: list[tuple[int, list[bytes]]], length: int) -> Iterator[tuple[int, list[bytes]]]:
+    """lines: number, words. Windows of the joined words, one of which has any `length` that follow each other, with the number of the line it begins in."""
+    words = [(number, w) for number, line in lines for w in line]
+    for at in range(0, max(1, len(words) - length), length):
+        part = words[at : at + 2 * length]
+        yield part[0][0], [w for _, w in part]
+
+
 def places(words: list[bytes], phrases: list[tuple[list[bytes], str]]) -> list[tuple[int, str]]:
     """Where each phrase's words stand one after another."""
     found = []
@@ -104,7 +114,7 @@ def document_frequency(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
 
 
 def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks: the sentences that meet a template, with label and containment.
+    """docs: doc_id, text. Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks: the blocks that meet a template, with label and containment. A window over several lines is named by its first one, and is there only if it contains more of the template than what came before it in the sentence.
 
     score: 1 with a phrase's place, else the largest containment of a template, 0 below the threshold."""
     ship(docs.sparkSession)
@@ -113,6 +123,7 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, template
     vocabulary = {w for _, text in templates for w in text.encode().translate(_WORDS).split()}
     index = build(templates, document_frequency(docs, vocabulary), threshold)
     rare = list(index.prefixes)
+    longest = max((len(text.encode().translate(_WORDS).split()) for _, text in templates), default=1)
     schema = extended(docs.select("doc_id").schema, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<block:long,label:string,containment:double>>")
 
     def one(text: str) -> tuple:
@@ -122,10 +133,25 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]] | None = None, template
         base = places(words, split) if any(distinct.issuperset(p) for p, _ in split) else []
         blocks = []
         if not distinct.isdisjoint(rare):
-            sentences = re.sub(rb"[.!?] ", b"\n", text.encode(errors="surrogatepass")).translate(_WORDS)
-            for number, block in enumerate(sentences.split(b"\n")):
-                for t, share in sorted(met(index, set(block.split())).items()):
-                    blocks.append({"block": number, "label": index.templates[t][0], "containment": share})
+            number = 0
+            for sentence in re.split(rb"[.!?] |(?<=[.!?])\n", text.encode(errors="surrogatepass")):
+                lines: list[tuple[int, list[bytes]]] = []
+                best: dict[int, float] = {}
+                for line in [*sentence.translate(_WORDS).split(b"\n"), None]:
+                    own = [] if line is None else line.split()
+                    if own:
+                        lines.append((number, own))
+                        for t, share in sorted(met(index, set(own)).items()):
+                            best[t] = max(best.get(t, 0.0), share)
+                            blocks.append({"block": number, "label": index.templates[t][0], "containment": share})
+                    else:
+                        for first, part in windows(lines, longest) if len(lines) > 1 else ():
+                            for t, share in sorted(met(index, set(part)).items()):
+                                if share > best.get(t, 0.0):
+                                    best[t] = share
+                                    blocks.append({"block": first, "label": index.templates[t][0], "containment": share})
+                        lines, best = [], {}
+                    number += line is not None
         at = [i for i, _ in base]
         labels = {label for _, label in base}
         every = labels | {b["label"] for b in blocks}

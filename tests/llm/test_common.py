@@ -24,5 +24,27 @@ def test_samples_are_bounded(spark):
     found, counts = bounded_sample(rows, "lang", 500, [F.col("text")])
     assert counts == {"a": 10_000, "b": 10_000} and 800 < len(found) < 1200
     labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
-    found, counts = labelled_sample(rows.unionByName(rows), labels, "toxic", 100, F.col("text"))
-    assert counts == {0: 15_000, 1: 5_000} and 120 < len(found) < 280 and all(r["label"] == (int(r["part"]) % 4 == 0) for r in found)
+    absent = spark.range(50_000, 90_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    found, counts = labelled_sample(rows.unionByName(rows), labels.unionByName(absent), "toxic", 100)
+    found = found.collect()
+    assert counts == {0: 15_000, 1: 5_000} and 120 < len(found) < 280 and all(r["label"] == (int(r["text"]) % 4 == 0) for r in found)
+
+
+def test_a_frequent_key_is_dealt_to_many_tasks(spark):
+    """By the plan, with neither broadcasts of the looked-up side nor splits of skewed partitions to help."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    known = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("largest"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = looked_up(rows, "key", known)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(key" in plan and "_part" in plan.split("hashpartitioning(key", 1)[1][:60]
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 30_000 and max(sizes) < 3_000  # a third in one task would be 10,000
+        assert found.filter("largest IS NULL").isEmpty() and found.filter("key = 'hot' AND largest <> 29997").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -1,13 +1,15 @@
 """The three classifiers: held-out accuracy on made-up text, agreement with brute force, and the edges."""
 
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.llm import language, quality, toxicity
-from vitrine.llm.common import bytes_of, fold
+from vitrine.llm.common import bytes_of, fold, fold_column
 
 from .conftest import words
 
@@ -97,6 +99,90 @@ def test_toxicity(spark, docs, labels, corpus, edges, nothing):
     assert {r["score"] for r in toxicity.classify(docs, labels.filter("toxic = 0")).collect()} == {0.0}
 
 
+def test_held_out_labels_change_nothing(spark, docs, labels):
+    for module, name, parts, held in ((quality, "quality", 5, 0), (toxicity, "toxic", 4, 2)):
+        turned = labels.withColumn(name, F.when(fold_column(F.col("doc_id"), parts) == held, 1 - F.col(name)).otherwise(F.col(name)))
+        assert turned.exceptAll(labels).count() > 50
+        one, other = ({r["doc_id"]: r["score"] for r in module.classify(docs, x).collect()} for x in (labels, turned))
+        assert one == other
+    one, other = ({r["doc_id"] for r in quality.keep_good(docs, docs, x).collect()} for x in (labels, labels.filter(fold_column(F.col("doc_id"), 5) != 0)))
+    assert one == other
+
+
+def toxic_by_hand(model, text):
+    """A text's logit word by word and n-gram by n-gram."""
+    runs, word = [], b""
+    for b in text.encode():
+        c = toxicity._KEPT[b]
+        if c:
+            word += bytes([c])
+        elif word:
+            runs, word = [*runs, word], b""
+    runs += [word] if word else []
+    best = -math.inf
+    for i in range(0, len(runs), toxicity.WORDS):
+        pulls = []
+        for word in runs[i : i + toxicity.WORDS]:
+            padded = b"\0" + word + b"\0"
+            for n in toxicity.GRAMS:
+                for gram in (padded[j : j + n] for j in range(len(padded) - n + 1)):
+                    h = 0
+                    for c in gram:
+                        h = (h * 0x01000193 + c) % 2**32
+                    h = ((h ^ (h >> 13)) * 0x5BD1E995 + n - 1) % 2**32
+                    pulls.append(float(model.pull[h >> 15]))
+        best = max(best, sum(pulls) / max(1, len(pulls)) + model.bias)
+    return best
+
+
+def test_toxicity_by_hand():
+    rng = np.random.default_rng(8)
+    model = toxicity.Subwords(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25)
+    texts = ["", "one", "a", "  a bc\n", words(random.Random(3), 100), "é" * 9 + "x" * 40, "x y z " * 9, "日本語のテキスト word " * 30, "A-B c3!" * 50]
+    for text, found in zip(texts, toxicity.text_logits(model, *bytes_of(pa.array(texts))), strict=True):
+        assert found == pytest.approx(toxic_by_hand(model, text), abs=1e-4)
+        for step in (7, 64, 1 << 18):
+            assert toxicity.long_text_logit(model, np.frombuffer(text.encode(), np.uint8), step) == pytest.approx(found, abs=1e-4)
+
+
+def test_toxic_training_follows_the_gradient():
+    """A step moves each parameter against the numerical gradient of the cross-entropy."""
+    texts = [words(random.Random(i), 20) for i in range(6)]
+    labels = np.array([0, 1, 0, 1, 1, 0])
+    t = toxicity.Trainer(*bytes_of(pa.array(texts)), labels, 4, 1)
+    pick = np.arange(len(t.of))
+
+    def loss(out, bias):
+        total = 0.0
+        for w in pick:
+            logits = t.embedding[t.bags[t.bounds[w] : t.bounds[w + 1]]].astype(float).mean(axis=0) @ out + bias
+            total += np.log(np.exp(logits).sum()) - logits[labels[t.of[w]]]
+        return total
+
+    out, bias, eps = t.out.astype(float), t.bias.astype(float), 1e-5
+    grad = np.zeros_like(out)
+    for i in np.ndindex(out.shape):
+        step = np.zeros_like(out)
+        step[i] = eps
+        grad[i] = (loss(out + step, bias) - loss(out - step, bias)) / (2 * eps)
+    before = t.out.copy()
+    t.step(pick, 0.1)
+    clear = np.abs(grad) > 0.01
+    assert clear.any() and (np.sign(before - t.out)[clear] == np.sign(grad)[clear]).all()
+
+
+def test_very_long_texts_in_bounded_memory():
+    import tracemalloc
+
+    text = np.frombuffer((words(random.Random(5), 2000) + " ").encode() * 600, np.uint8)
+    model = toxicity.Subwords(np.zeros(toxicity.BUCKETS, np.float32), 0.0)
+    for run in (lambda: toxicity.long_text_logit(model, text), lambda: quality.trigram_counts(text)):
+        tracemalloc.start()
+        run()
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+        tracemalloc.stop()
+
+
 def test_every_window_is_read():
     rng = np.random.default_rng(2)
     model = toxicity.Subwords(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.5)
@@ -126,6 +212,8 @@ def test_language(spark, docs, corpus, edges, nothing):
     assert language.identify(nothing).count() == 0
     unlabelled = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
     assert {r["lang_pred"] for r in language.identify(unlabelled).collect()} == {"und"}
+    mixed = spark.createDataFrame([(1, " ".join(words(random.Random(i), 300, SYLLABLES[x]) for i, x in enumerate(SYLLABLES)), "x")], "doc_id long, text string, vitrine_lang string")
+    assert language.keep_known(mixed, docs).collect() == mixed.collect()  # in three known languages
     kept = language.keep_known(edges, docs)
     assert kept.columns == edges.columns and all(r["text"] for r in kept.collect())
 

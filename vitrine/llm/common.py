@@ -18,8 +18,12 @@ from vitrine.shipping import ship  # noqa: F401  the operators take it from here
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Only where that is unset (tests on one machine) a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a local one, if all runs in one process; on a cluster that is an error."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -115,21 +119,29 @@ def bounded_sample(rows: DataFrame, label: str, per_label: int, columns: list[Co
     return found, counts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, part: Column) -> tuple[list, dict]:
-    """About per_label labelled ids of each label 0 and 1, chosen by a hash, as rows of label and part (a text of the document); and how many ids each label has.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> tuple[DataFrame, dict]:
+    """About per_label labelled ids of each label 0 and 1, chosen by a hash, as labelled_id, label and the whole text; and how many ids of docs have each label.
 
-    The ids are chosen among the labels, so that a bounded number of them, and no document, is moved to join the two."""
+    What counts are ids that docs has: labels of other documents, of a held-out fold too, change nothing. The ids are chosen among the labels, so that a bounded number of them,
+    and no document, is moved to join the two."""
     marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label")).distinct()
-    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    present = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    counts = {r["label"]: r["count"] for r in present.groupBy("label").count().collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     chosen = F.lit(False)
     for value, n in sorted(counts.items()):
         chosen = chosen | ((F.col("label") == F.lit(value)) & (place < F.lit(max(1, -(-(per_label << 20) // n)))))
-    side = F.broadcast(marked.filter(chosen).select(F.col("doc_id").alias("labelled_id"), "label"))  # about 2 x per_label ids
-    rows = docs.select("doc_id", part.alias("part")).join(side, F.col("doc_id") == F.col("labelled_id"))
-    found = rows.groupBy("labelled_id", "label").agg(F.min("part").alias("part")).collect()  # of rows that share an id, one
-    found.sort(key=lambda r: (str(r["labelled_id"]), r["label"]))
-    return found, counts
+    side = F.broadcast(present.filter(chosen).select(F.col("doc_id").alias("labelled_id"), "label"))  # about 2 x per_label ids
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(side, F.col("doc_id") == F.col("labelled_id"))
+    return rows.groupBy("labelled_id", "label").agg(F.min("text").alias("text")), counts  # of rows that share an id, one
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A name for a further column of df: the given one, or the first with underscores after it that no column has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
@@ -137,24 +149,27 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-#: At most so many keys have 1/HOT of all rows or more; their values are broadcast, so that their rows aren't shuffled to one task.
-HOT = 256
+#: Rows of a frequent key that are looked up in one task, about: between these, a share of all rows of 1 / SHARES.
+PART_LEAST, PART_MOST, SHARES = 256, 16_384, 1024
 
 
 def looked_up(rows: DataFrame, key: str, known: DataFrame, settled: Column | None = None) -> DataFrame:
     """rows, left-joined with known (one row for each key, with `n`, how many rows have it, and values that rows has no columns for), without moving the rows of a frequent key to one task.
 
-    settled: which rows need no values. They, those of frequent keys and those without a key are spread evenly."""
+    A frequent key's rows are dealt to parts by a hash of the row, and its values are sent to each of these. What is broadcast are the keys with more than a part and
+    how many parts they have: at most SHARES keys, or one for every PART_MOST rows.
+    settled: which rows need no values. They and those without a key are spread evenly."""
     values = [c for c in known.columns if c not in (key, "n")]
     total = known.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT >= F.lit(total)
+    part = min(max(total // SHARES, PART_LEAST), PART_MOST)
     known = known.filter(F.col(key).isNotNull())
-    often = known.filter(hot).select(F.col(key).alias("_hot_key"), *(F.col(c).alias(f"_hot_{c}") for c in values))
-    seldom = known.filter(~hot).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_part"), *(F.col(c).alias(f"_cold_{c}") for c in values))
+    many = F.ceil(F.col("n") / part).cast("long")
+    often = known.filter(F.col("n") > part).select(F.col(key).alias("_often"), many.alias("_parts"))
     columns = rows.columns
-    rows = rows.join(F.broadcast(often), F.col(key) == F.col("_hot_key"), "left")
-    done = F.col("_hot_key").isNotNull() | F.col(key).isNull() | (F.lit(False) if settled is None else F.coalesce(settled, F.lit(False)))
-    spread = F.pmod(F.xxhash64(*columns), F.lit(1 << 20)) + 1
-    rows = rows.withColumn("_part", F.when(done, spread).otherwise(F.lit(0).cast("long")))
-    rows = rows.join(seldom, (F.col(key) == F.col("_cold_key")) & (F.col("_part") == F.col("_cold_part")), "left")
-    return rows.select(*columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in values))
+    spread = F.xxhash64(*columns)
+    rows = rows.join(F.broadcast(often), F.col(key) == F.col("_often"), "left")
+    idle = F.col(key).isNull() | (F.lit(False) if settled is None else F.coalesce(settled, F.lit(False)))
+    rows = rows.withColumn("_part", F.when(idle, -1 - F.pmod(spread, F.lit(1 << 20))).otherwise(F.pmod(spread, F.coalesce("_parts", F.lit(1).cast("long")))))
+    known = known.select(F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("_of"), *(F.col(c).alias(f"_{c}") for c in values))
+    rows = rows.join(known, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_of")), "left")
+    return rows.select(*columns, *(F.col(f"_{c}").alias(c) for c in values))

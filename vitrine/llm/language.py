@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_sample, bytes_of, extended, fold_column, ship, spans
+from vitrine.llm.common import bounded_sample, bytes_of, extended, fold_column, ship, spans, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -151,8 +151,10 @@ def learn(docs: DataFrame, per_language: int = 1000) -> ByteNet | None:
     return train(*training_windows(found)) if found else None
 
 
-def predict(docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with the language and the score as further columns of those names; docs: text and any columns."""
+def predict(docs: DataFrame, net: ByteNet | None, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and the score as further columns of those names; docs: text and any columns.
+
+    A third name: how sure the windows are, the mean of each one's own largest probability, whichever languages these are for."""
     ship(docs.sparkSession)
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +162,22 @@ def predict(docs: DataFrame, net: ByteNet | None, names: tuple[str, str] = ("lan
         for batch in parts:
             column = batch["text"]
             n = len(column)
-            best, score = np.zeros(n, int), np.zeros(n)
+            best, score, sure = np.zeros(n, int), np.zeros(n), np.zeros(n)
             data, ends = bytes_of(column)
             for first, last in spans(ends, 1 << 20) if predictor else ():
                 each = [windows_of(data[ends[i] : ends[i + 1]]) for i in range(first, last)]
                 starts = np.cumsum([0, *map(len, each)])[:-1]
                 whole = np.concatenate(each)
-                mean = np.add.reduceat(predictor.probabilities(whole), starts, axis=0) / np.array([len(x) for x in each])[:, None]
+                found, sizes = predictor.probabilities(whole), np.array([len(x) for x in each])
+                mean = np.add.reduceat(found, starts, axis=0) / sizes[:, None]
                 best[first:last], score[first:last] = mean.argmax(axis=1), mean.max(axis=1)
+                sure[first:last] = np.add.reduceat(found.max(axis=1), starts) / sizes
             lettered = [bool(predictor) and text is not None and bool(_letter().search(text)) for text in column.to_pylist()]
             best_langs = pa.array([net.langs[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], pa.string())
-            scores = pa.array(np.clip(np.where(lettered, score, 0.0), 0, 1), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, best_langs, scores], names=[*batch.schema.names, *names])
+            scores = [pa.array(np.clip(np.where(lettered, x, 0.0), 0, 1), pa.float64()) for x in (score, sure)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[best_langs, *scores][: len(names)]], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, extended(docs.schema, f"{names[0]} string, {names[1]} double"))
+    return docs.mapInArrow(run, extended(docs.schema, f"{names[0]} string, " + ", ".join(f"{n} double" for n in names[1:])))
 
 
 def identify(docs: DataFrame, parts: int = 3, held: int = 1, per_language: int = 1000) -> DataFrame:
@@ -183,7 +187,9 @@ def identify(docs: DataFrame, parts: int = 3, held: int = 1, per_language: int =
 
 
 def keep_known(docs: DataFrame, known: DataFrame, least: float = 0.5, parts: int = 3, held: int = 1) -> DataFrame:
-    """docs, all columns, without those in no language that was learnt, or for which no language has a score of at least `least`; known: what is learnt from, outside the held-out fold."""
+    """docs, all columns, without those in no language that was learnt, and those whose windows are on average less sure than `least`; known: what is learnt from, outside the held-out fold.
+
+    A text in several learnt languages stays, as each of its windows is sure of one."""
     net = learn(known.filter(fold_column(F.col("doc_id"), parts) != held))
-    names = ("vitrine_lang", "vitrine_score")
-    return predict(docs, net, names).filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) >= least)).drop(*names)
+    names = tuple(unused(f"vitrine_{n}", docs) for n in ("lang", "score", "sure"))
+    return predict(docs, net, names).filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[2]) >= least)).drop(*names)

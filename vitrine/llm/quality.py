@@ -7,13 +7,15 @@ labelled documents' vectors, a bounded number, go to every worker; in blocks, th
 every one of them is computed, and the nearest vote with their similarity as weight.
 
 Defined cases: a null text is empty; an empty text has no terms, and gets the share of label 1 among the labelled
-rows, as do all if nothing is labelled (0.5 then). Labels that are null or of absent documents teach nothing. Ids may
-be null (they count as empty text for the fold) or repeat; repeated rows are scored alike. Tables may be empty and
-may have further columns.
+rows, as do all if nothing is labelled (0.5 then). Labels that are null, of absent documents or of the held-out fold
+teach nothing: what is counted and sampled are labelled documents outside it. Of labelled documents that share an id, the
+text that sorts first is learnt from. Very long texts are counted in steps, whole. Ids may be null (they count as empty text
+for the fold) or repeat; repeated rows are scored alike. Tables may be empty and may have further columns, of any names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bytes_of, extended, fold_column, labelled_sample, ship, spans
+from vitrine.llm.common import bytes_of, extended, fold_column, labelled_sample, ship, spans, texts_of, unused
 
 TERMS = 4096
 #: Terms of shape: eight levels of each of SHAPES shares.
@@ -51,23 +53,39 @@ class Neighbours:
     prior: float
 
 
+#: Bytes of a text that are hashed at once.
+STEP = 1 << 18
+
+
+def trigram_counts(text: np.ndarray) -> np.ndarray:
+    """How often each hashed trigram occurs; a text of one or two bytes has one, filled with zeros."""
+    counts = np.zeros(TERMS, np.int64)
+    places = max(1, len(text) - 2)
+    for at in range(0, places, STEP):
+        n = min(STEP, places - at)
+        wide = np.zeros(n + 2, np.uint32)
+        part = text[at : at + n + 2]
+        wide[: len(part)] = part
+        hashed = wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)
+        hashed = ((hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - 12)
+        counts += np.bincount(hashed, minlength=TERMS)
+    return counts
+
+
+def byte_counts(text: np.ndarray) -> np.ndarray:
+    return sum((np.bincount(text[at : at + STEP], minlength=256) for at in range(0, len(text), STEP)), np.zeros(256, np.int64))
+
+
 def term_counts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Texts x terms: square roots of counts of hashed trigrams, then levels of shape."""
     n = len(ends) - 1
     out = np.zeros((n, TERMS + SHAPES * LEVELS), np.float32)
-    if not n or ends[-1] == ends[0]:
-        return out
-    data = data[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    wide = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.uint32)
-    hashed = wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA77) + wide[2:] * np.uint32(0xC2B2AE3D)
-    hashed = ((hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - 12)
     for i in range(n):
-        a, b = ends[i], ends[i + 1]
-        if b <= a:
+        text = data[ends[i] : ends[i + 1]]
+        size = len(text)
+        if not size:
             continue
-        counts = np.bincount(hashed[a : max(a + 1, b - 2)], minlength=TERMS)
-        size, bytes_ = b - a, np.bincount(data[a:b], minlength=256)
+        counts, bytes_ = trigram_counts(text), byte_counts(text)
         letters = max(1, bytes_[_LETTER].sum())
         different = np.count_nonzero(counts)
         expected = TERMS * (1 - np.exp(-size / TERMS)) * 0.5
@@ -111,14 +129,23 @@ def vote(model: Neighbours, counts: np.ndarray, nearest: int = NEAREST) -> np.nd
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Neighbours | None:
-    """docs: doc_id, text; labels: doc_id, quality. About per_label rows of each label are taken."""
-    found, counts = labelled_sample(docs, labels, "quality", per_label, F.substring(F.coalesce("text", F.lit("")), 1, 1 << 20))
+    """docs: doc_id, text; labels: doc_id, quality. About per_label rows of each label are taken; their whole texts are counted by the executors, so that vectors, not texts, come here."""
+    ship(docs.sparkSession)
+    rows, counts = labelled_sample(docs, labels, "quality", per_label)
+
+    def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            vectors = [zlib.compress(term_counts(*bytes_of(pa.array([text], pa.string()))).tobytes(), 1) for text in texts_of(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["labelled_id"], batch["label"], pa.array(vectors, pa.binary())], names=["labelled_id", "label", "vector"])
+
+    found = rows.select("labelled_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(count, f"labelled_id {rows.schema['labelled_id'].dataType.simpleString()}, label int, vector binary").collect()
     if not found:
         return None
-    column = pa.array([r["part"] for r in found], pa.string())
+    found.sort(key=lambda r: (str(r["labelled_id"]), r["label"]))
     labels_ = np.array([r["label"] for r in found])
     share = {k: counts[k] / max(1, (labels_ == k).sum()) for k in counts}
-    return fit(term_counts(*bytes_of(column)), labels_, np.array([share[k] for k in labels_], float))
+    vectors = np.stack([np.frombuffer(zlib.decompress(r["vector"]), np.float32) for r in found])
+    return fit(vectors, labels_, np.array([share[k] for k in labels_], float))
 
 
 def score(docs: DataFrame, model: Neighbours | None, name: str = "score") -> DataFrame:
@@ -142,12 +169,15 @@ def score(docs: DataFrame, model: Neighbours | None, name: str = "score") -> Dat
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, per_label: int = 1500) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, quality. Learns outside the held-out fold. Returns doc_id, held_out, score, predicted."""
-    model = learn(docs.filter(fold_column(F.col("doc_id"), parts) != held), labels, per_label)
+    known = fold_column(F.col("doc_id"), parts) != held
+    model = learn(docs.filter(known), labels.filter(known), per_label)
     scored = score(docs.select("doc_id", (fold_column(F.col("doc_id"), parts) == held).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, known: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without those that score under the threshold; known and labels: what is learnt from, outside the held-out fold."""
-    model = learn(known.filter(fold_column(F.col("doc_id"), parts) != held), labels)
-    return score(docs, model, "vitrine_score").filter(F.col("vitrine_score") >= threshold).drop("vitrine_score")
+    outside = fold_column(F.col("doc_id"), parts) != held
+    model = learn(known.filter(outside), labels.filter(outside))
+    name = unused("vitrine_score", docs)
+    return score(docs, model, name).filter(F.col(name) >= threshold).drop(name)

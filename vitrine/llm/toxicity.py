@@ -9,8 +9,10 @@ document's score is that of its most toxic window; every window of the whole tex
 For prediction the embeddings are folded into the one number by which each bucket moves the softmax.
 
 Defined cases: a null text is empty; a text without words scores 0, as do all if no toxic document is labelled.
-Labels that are null or of absent documents teach nothing. Ids may be null (they count as empty text for the fold)
-or repeat; repeated rows are scored alike. Tables may be empty and may have further columns.
+Labels that are null, of absent documents or of the held-out fold teach nothing: what is counted and sampled are labelled
+documents outside it, none longer than `longest` characters; each is learnt from as a whole. A very long text is scored
+in steps, whole, in memory that doesn't depend on its length. Ids may be null (they count as empty text for the fold) or
+repeat; repeated rows are scored alike. Tables may be empty and may have further columns.
 """
 
 from __future__ import annotations
@@ -89,6 +91,45 @@ def text_logits(model: Subwords, data: np.ndarray, ends: np.ndarray) -> np.ndarr
     return out
 
 
+def long_text_logit(model: Subwords, text: np.ndarray, step: int = 1 << 18) -> float:
+    """The same for one text, step places at a time: what a window adds up is carried from one step to the next."""
+    ahead = max(GRAMS)
+    best, words, pull, count, started = -np.inf, 0, 0.0, 0.0, False
+    for at in range(0, len(text) + 1, step):  # place p is the boundary or byte before text[p]
+        size = min(step, len(text) + 1 - at)
+        chars = np.zeros(size + ahead, np.uint8)
+        first = max(0, at - 1)
+        part = _KEPT[text[first : at + size + ahead - 1]]
+        chars[first - at + 1 : first - at + 1 + len(part)] = part
+        inside = chars != 0
+        total, real_count = np.zeros(size), np.zeros(size)
+        hashed, real = chars[:size].astype(np.uint32), np.ones(size, bool)
+        for k in range(1, ahead):
+            hashed = hashed * np.uint32(0x01000193) + chars[k : k + size]
+            if k > 1:
+                real = real & inside[k - 1 : k - 1 + size]
+            if k + 1 in GRAMS:
+                mixed = (hashed ^ (hashed >> np.uint32(13))) * np.uint32(0x5BD1E995) + np.uint32(k)
+                counts = real & inside[1 : 1 + size]
+                total += np.where(counts, model.pull.take((mixed >> np.uint32(15)).astype(np.int32) & (BUCKETS - 1)), 0)
+                real_count += counts
+        starts = np.flatnonzero(~inside[:size] & inside[1 : 1 + size])
+        opened = starts[(words + np.arange(len(starts))) % WORDS == 0]
+        words += len(starts)
+        edges = np.concatenate([[0], opened, [size]]).astype(int)
+        totals, places = np.concatenate([[0.0], np.cumsum(total)]), np.concatenate([[0.0], np.cumsum(real_count)])
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if i:  # a window begins here: the one before is complete
+                if started:
+                    best = max(best, pull / max(count, 1))
+                pull, count, started = 0.0, 0.0, True
+            if started:
+                pull, count = pull + totals[b] - totals[a], count + places[b] - places[a]
+    if started:
+        best = max(best, pull / max(count, 1))
+    return best + model.bias
+
+
 class Trainer:
     """Windows as bags of buckets; embeddings and softmax under AdaGrad."""
 
@@ -160,20 +201,25 @@ def train(data: np.ndarray, ends: np.ndarray, labels: np.ndarray, dims: int = 8,
     return t.model()
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1000) -> Subwords | None:
-    """docs: doc_id, text; labels: doc_id, toxic. About per_label rows of each label are taken, of each at most 16 Ki characters."""
-    found, counts = labelled_sample(docs, labels, "toxic", per_label, F.substring(F.coalesce("text", F.lit("")), 1, 1 << 14))
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = 1000, longest: int = 1 << 15) -> Subwords | None:
+    """docs: doc_id, text; labels: doc_id, toxic. About per_label rows of each label are taken, of texts of at most `longest` characters: the sample's bound in memory. What is taken is learnt from as a whole."""
+    rows, counts = labelled_sample(docs.filter(F.coalesce(F.char_length("text"), F.lit(0)) <= longest), labels, "toxic", per_label)
+    found = sorted(rows.collect(), key=lambda r: (str(r["labelled_id"]), r["label"]))
     known = np.array([r["label"] for r in found], int)
     if not known.any():
         return None
     share = known.mean()
     if share == 1:
         return Subwords(np.zeros(BUCKETS, np.float32), 10.0)
-    model = train(*bytes_of(pa.array([r["part"] for r in found], pa.string())), known)
+    model = train(*bytes_of(pa.array([r["text"] for r in found], pa.string())), known)
     # the sample has more toxic documents than the corpus
     return Subwords(model.pull, model.bias + float(np.log(counts[1] / counts[0]) - np.log(share / (1 - share))))
 
 
+#: Bytes of texts that are scored at once; a longer text goes by steps.
+SPAN = 1 << 19
+
+
 def score(docs: DataFrame, model: Subwords | None) -> DataFrame:
     """docs with score; docs: text and any columns but that."""
     ship(docs.sparkSession)
@@ -184,8 +230,9 @@ def score(docs: DataFrame, model: Subwords | None) -> DataFrame:
         for batch in parts:
             data, ends = bytes_of(batch["text"])
             out = np.full(len(batch), -np.inf)
-            for first, last in spans(ends, 1 << 19) if model else ():
-                out[first:last] = text_logits(model, data, ends[first : last + 1])
+            for first, last in spans(ends, SPAN) if model else ():
+                long = ends[last] - ends[first] > SPAN
+                out[first:last] = long_text_logit(model, data[ends[first] : ends[last]]) if long else text_logits(model, data, ends[first : last + 1])
             with np.errstate(over="ignore"):
                 scores = 1 / (1 + np.exp(-out))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
@@ -195,6 +242,7 @@ def score(docs: DataFrame, model: Subwords | None) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_label: int = 1000) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic. Learns outside the held-out fold. Returns doc_id, held_out, score, predicted."""
-    model = learn(docs.filter(fold_column(F.col("doc_id"), parts) != held), labels, per_label)
+    known = fold_column(F.col("doc_id"), parts) != held
+    model = learn(docs.filter(known), labels.filter(known), per_label)
     scored = score(docs.select("doc_id", (fold_column(F.col("doc_id"), parts) == held).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,8 +1,10 @@
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -46,44 +48,133 @@ def all_links(codes, radius):
     return [(i, int(j)) for i in range(len(codes)) for j in np.flatnonzero(simhash.different(codes[i + 1 :], codes[i]) <= radius) + i + 1]
 
 
+def forest(codes, radius, bucket=None):
+    a, b = simhash.linked(codes, np.zeros(len(codes), int) if bucket is None else bucket, radius)
+    return list(zip(a.tolist(), b.tolist(), strict=True))
+
+
 @pytest.mark.parametrize(("parts", "radius", "flips"), [(1, 3, 6), (1, 0, 2), (4, 44, 60)])
 def test_index_finds_all_links(parts, radius, flips):
-    for seed in range(4):
-        codes = clustered(random.Random(seed), 400, flips, parts)
-        assert roots(len(codes), simhash.linked(codes, radius)) == roots(len(codes), all_links(codes, radius))
-        assert len(simhash.linked(codes, radius)) < len(codes)
+    for seed, n in ((0, 2), (1, 7), (2, 400), (3, 1500)):
+        codes = clustered(random.Random(seed), n, flips, parts)
+        links = forest(codes, radius)
+        assert roots(len(codes), links) == roots(len(codes), all_links(codes, radius))
+        assert len(links) == len(codes) - len(set(roots(len(codes), links)))
+        assert all(simhash.different(codes[a], codes[b]) <= radius for a, b in links)
+        bucket = np.random.default_rng(seed).integers(0, 3, len(codes))
+        same = [(a, b) for a, b in all_links(codes, radius) if bucket[a] == bucket[b]]
+        assert roots(len(codes), forest(codes, radius, bucket)) == roots(len(codes), same)
+
+
+@pytest.mark.parametrize(("parts", "radius", "flips"), [(1, 3, 6), (4, 44, 60)])
+def test_all_pairs_of_different_groups(parts, radius, flips):
+    for seed, n in ((4, 2), (5, 9), (6, 700)):
+        codes = clustered(random.Random(seed), n, flips, parts)
+        rng = np.random.default_rng(seed)
+        bucket, group = rng.integers(0, 2, len(codes)), rng.integers(0, 4, len(codes)) * 7 - 9
+        found = [tuple(sorted(p)) for a, b in simhash.apart(codes, bucket, group, radius) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert sorted(found) == [(a, b) for a, b in all_links(codes, radius) if bucket[a] == bucket[b] and group[a] != group[b]]
 
 
 def test_gray_order():
     codes = np.array([[x] for x in range(16)], np.uint64)
-    order = [int(codes[i, 0]) for i in simhash.gray_order(codes)]
+    order = [int(codes[i, 0]) for i in np.lexsort(simhash.gray_keys(codes))]
     assert all(bin(a ^ b).count("1") == 1 for a, b in zip(order, order[1:], strict=False))
     wide = np.array([[a, b] for a in (0, 1) for b in (0, 1, 1 << 63)], np.uint64)
-    assert sorted(map(tuple, wide[simhash.gray_order(wide)].tolist())) == sorted(map(tuple, wide.tolist()))
-
-
-def test_blocks():
-    blocks = simhash.blocks_of(0)
-    assert sum(blocks) == (1 << 64) - 1 and [bin(b).count("1") for b in blocks] == [16] * 4
-    inner = simhash.blocks_of(blocks[1])
-    assert all(b & blocks[1] == blocks[1] and bin(b).count("1") == 28 for b in inner)
+    assert sorted(map(tuple, wide[np.lexsort(simhash.gray_keys(wide))].tolist())) == sorted(map(tuple, wide.tolist()))
+
+
+def test_gray_rank_is_the_order(spark):
+    codes = np.array([[random.Random(i).getrandbits(64)] for i in range(200)], np.uint64)
+    rows = spark.createDataFrame([(int(c),) for c in codes[:, 0].view(np.int64)], "f0 long").orderBy(simhash.gray_rank(F.col("f0"))).collect()
+    assert [r["f0"] for r in rows] == codes[np.lexsort(simhash.gray_keys(codes)), 0].view(np.int64).tolist()
+
+
+def test_nodes_prune_on_the_test_tables():
+    """The index is what answers, at the size of the smallest tables too: pairs of nodes are looked at and left out."""
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables here")
+    codes = np.unique(np.array([simhash.simhash(t or "", 3, 1)[0] for t in pq.read_table(path, columns=["text"])["text"].to_pylist()], np.uint64), axis=0)
+    links = set()
+    for deal in simhash.exact_deals(3)[:1]:
+        for (mask,) in deal.masks:
+            counts = {}
+            bucket = np.unique(codes[:, 0] & np.uint64(mask), return_inverse=True)[1]
+            a, b = simhash.linked(codes, bucket, 3, None, counts)
+            links |= set(zip(a.tolist(), b.tolist(), strict=True))
+            assert counts["seen"] > 0 and counts["pruned"] > 0.5 * counts["seen"]
+    assert roots(len(codes), links) == roots(len(codes), all_links(codes, 3))
+    counts = {}
+    simhash.linked(codes, np.zeros(len(codes), int), 3, None, counts)  # by differing bits alone
+    assert counts["pruned"] > 0
+
+
+def test_deals_are_sure():
+    """Codes at no more than the radius share a whole block of every deal."""
+    rng = random.Random(1)
+    for deal in simhash.exact_deals(3):
+        masks = [m for (m,) in deal.masks]
+        assert len(masks) == 4 and sum(masks) == (1 << 64) - 1
+        for _ in range(200):
+            code = rng.getrandbits(64)
+            other = code
+            for bit in rng.sample(range(64), 3):
+                other ^= 1 << bit
+            assert any(code & m == other & m for m in masks)
+    for bits in (8, 18, 24):
+        assert 1 - (1 - 0.8485**bits) ** simhash.masks_for(bits) >= 0.999
+
+
+def run_search(batches, again, every=False):
+    return pa.Table.from_batches(list(simhash._search(["f0"], 3, again, None, every)(iter(batches))))
 
 
 def test_large_buckets_are_dealt_anew():
     n = simhash.BUCKET + 5
-    batch = pa.RecordBatch.from_arrays([pa.array([3] * (n + 2), pa.int64()), pa.array([1] * n + [2, 2], pa.int64()), pa.array(range(n + 2), pa.int64()), pa.array([*range(n), 7, 6], pa.int64())], names=["mask", "pattern", "id", "f0"])
-    out = pa.Table.from_batches(list(simhash._search(3, 1, True)(iter([batch]))))
-    kinds = out.column("kind").to_pylist()
-    assert kinds.count("again") == 4 * n and kinds.count("link") == 1
+    codes = [*range(n), 7, 6]
+    columns = [[3] * (n + 2), [1] * n + [2, 2], range(n + 2), [0] * (n + 2), range(n + 2), codes]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["bucket", "pattern", "id", "size", "group", "f0"])
+    parts = [batch.slice(i, 1000) for i in range(0, n + 2, 1000)]
+    for given in ([batch], parts):
+        out = run_search(given, True)
+        kinds = out.column("kind").to_pylist()
+        assert kinds.count("again") == n and kinds.count("link") == 1
     # without dealing anew the bucket is searched itself, also over several batches
-    out = pa.Table.from_batches(list(simhash._search(3, 1, False)(iter([batch.slice(0, 1000), batch.slice(1000)]))))
-    assert out.num_rows == n
+    assert run_search(parts, False).num_rows == n
+
+
+def test_dealing_anew_loses_no_link(spark, monkeypatch):
+    """With buckets of ten, dealt anew both before the shuffle and after it, three deals deep."""
+    codes = clustered(random.Random(10), 500, 4)
+    classes = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)[:, 0]], "f0 long").select(F.col("f0").alias("id"), F.lit(0).cast("long").alias("size"), F.col("f0").alias("group"), "f0")
+    ids = {int(c): i for i, c in enumerate(codes.view(np.int64)[:, 0])}
+    real = simhash._search
+
+    def small(*args):
+        run = real(*args)
+
+        def patched(batches):
+            before = simhash.BUCKET, simhash.CHUNK
+            simhash.BUCKET, simhash.CHUNK = 10, 16
+            try:
+                yield from run(batches)
+            finally:
+                simhash.BUCKET, simhash.CHUNK = before  # the worker goes on
+
+        return patched
+
+    monkeypatch.setattr(simhash, "_search", small)
+    for bucket, start in ((10, 0), (10, 1), (1 << 20, 0)):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        links = [(ids[r["a"]], ids[r["b"]]) for r in simhash.class_links(classes, ["f0"], simhash.exact_deals(3), 3, start=start).collect()]
+        assert roots(len(codes), links) == roots(len(codes), all_links(codes, 3))
 
 
 def test_class_links_and_components(spark):
     codes = clustered(random.Random(9), 700, 5)
-    classes = spark.createDataFrame([(int(np.int64(c[0])),) for c in codes.view(np.int64)], "f0 long").select(F.col("f0").alias("id"), "f0")
-    links = simhash.class_links(classes, 1, [[m] for m in simhash.blocks_of(0)], 3, True)
+    classes = spark.createDataFrame([(int(np.int64(c[0])),) for c in codes.view(np.int64)], "f0 long").select(F.col("f0").alias("id"), F.lit(0).cast("long").alias("size"), F.col("f0").alias("group"), "f0")
+    links = simhash.class_links(classes, ["f0"], simhash.exact_deals(3), 3)
     found = {r["id"]: r["root"] for r in simhash.components(links).collect()}
     ids = codes.view(np.int64)[:, 0].tolist()
     group = roots(len(codes), all_links(codes, 3))
@@ -155,11 +246,26 @@ def test_keep_one_decides_at_the_similarity_itself(spark):
     assert kept == expected
 
 
-def test_nearest_within_the_radius():
-    codes = clustered(random.Random(3), 300, 60, 4)
-    a, b = simhash.nearest(codes, 44, 8)
-    links = set(map(tuple, np.stack([a, b], 1).tolist()))
-    for i, code in enumerate(codes):
-        apart = np.sort(np.delete(simhash.different(codes, code), i))[:8]
-        own = sorted(int(simhash.different(codes[x], code)) for at, x in links if at == i)
-        assert own == [x for x in apart if x <= 44]
+def test_a_large_family_is_one_group(spark):
+    """Three hundred texts, each at 0.8 or more to the one it was made from only: chains, not a centre, hold them together; strangers that share half of each stay."""
+    rng = random.Random(12)
+    fresh = (f"y{i}" for i in range(1 << 20))
+    texts = [[next(fresh) for _ in range(260)]]
+    while len(texts) < 300:
+        words_ = list(rng.choice(texts[-40:]))
+        for i in rng.sample(range(5, 255), 4):
+            words_[i] = next(fresh)
+        texts.append(words_)
+    strangers = [texts[0][:130] + [next(fresh) for _ in range(130)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts + strangers)]
+    sets = [{tuple(w[i : i + 5]) for i in range(256)} for w in texts + strangers]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = set(roots(len(sets), alike))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == expected
+
+
+def test_keep_one_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, None, "z", 3)], "doc_id long, text string, vitrine_text string, vitrine_id long")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["vitrine_text"] for r in kept.collect()) == ["x", "z"]

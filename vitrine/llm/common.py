@@ -153,14 +153,14 @@ def extended(schema: StructType, ddl: str) -> StructType:
 PART_LEAST, PART_MOST, SHARES = 256, 16_384, 1024
 
 
-def looked_up(rows: DataFrame, key: str, known: DataFrame, settled: Column | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, known: DataFrame, settled: Column | None = None, total: int | None = None) -> DataFrame:
     """rows, left-joined with known (one row for each key, with `n`, how many rows have it, and values that rows has no columns for), without moving the rows of a frequent key to one task.
 
     A frequent key's rows are dealt to parts by a hash of the row, and its values are sent to each of these. What is broadcast are the keys with more than a part and
     how many parts they have: at most SHARES keys, or one for every PART_MOST rows.
-    settled: which rows need no values. They and those without a key are spread evenly."""
+    settled: which rows need no values. They and those without a key are spread evenly. total: how many rows there are, about, where the caller knows."""
     values = [c for c in known.columns if c not in (key, "n")]
-    total = known.agg(F.sum("n")).first()[0] or 0
+    total = (known.agg(F.sum("n")).first()[0] or 0) if total is None else total
     part = min(max(total // SHARES, PART_LEAST), PART_MOST)
     known = known.filter(F.col(key).isNotNull())
     many = F.ceil(F.col("n") / part).cast("long")

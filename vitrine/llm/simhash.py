@@ -3,40 +3,49 @@
 A fingerprint bit is 1 if it is set in over half of the hashes of a text's word shingles. Equal fingerprints are one
 class from the start. For others, a bit mask and the bits under it are a bucket: a class is in the bucket of each of a
 list of masks. If the masks are blocks, one more than the bits that may differ, two linked classes meet in a bucket
-surely; a bucket with too many classes is dealt anew under the blocks of the bits left, which is as sure.
+surely; a bucket with too many classes is dealt anew under other blocks, which is as sure.
 
-In a bucket, fingerprints are sorted by Gray rank, so that neighbours share bits. Runs of them are nodes, runs of nodes
-upper nodes; each has a mask of the bits that all of it shares and the pattern there. A search from the top adds up
-where it differs from the patterns and leaves out every group whose sum is over the limit. What is found links at once and is left out of
-later searches, so that a group of n near copies gives n - 1 links, not all pairs. Links make components by large-star and small-star
-rounds. Where a similarity is asked for, links are candidates, more of them are taken, and each is verified on the sets of shingles first.
+Classes are sorted by the Gray rank of the masked bits, then of the whole, across the table in ranges, so that neighbours
+share bits. Runs of them are nodes, runs of nodes upper nodes, at every size; each has a mask of the bits that all of it
+shares and the pattern there. A search goes down from the top with pairs of nodes and leaves out every pair whose patterns
+differ in more bits than the limit, that has no bucket in common, or that is joined already: a group of n near copies gives
+n - 1 links, not all pairs. Links make components by large-star and small-star rounds.
+
+Where a similarity of the sets of shingles is asked for, what meets is a candidate and is verified on the sets. First a
+forest of near links in a few of the buckets joins groups of near copies; then all candidates, of all buckets, between what is
+still apart are verified, without a limit on their number.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any others. A null id is
 never the smallest of its component; a component without ids has a null one. Repeated rows are returned each. Tables may be
-empty and may have further columns; only the id and the text are read.
+empty and may have further columns, of any names; only the id and the text are read. Very long texts are hashed in blocks, whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import drop, looked_up, ship, texts_of, written
+from vitrine.llm.common import drop, looked_up, ship, texts_of, unused, written
 
 BITS = 64
-#: Classes of a bucket, from which it is dealt anew.
-BUCKET = 4096
 #: Nodes' runs.
-RUN = 16
-#: Up to so many, a bucket's pairs are compared outright.
-FEW = 24
-#: Candidates of a class in a larger bucket, besides those of the search.
-NEAREST = 8
+RUN = 8
+#: Pairs of nodes that are taken down a level at once: they have RUN x RUN times as many pairs below.
+PAIRS = 4096
+#: Rows that a task indexes at once, more only where a bucket has more; classes of a bucket, from which it is dealt anew.
+CHUNK, BUCKET = 32_768, 16_384
+#: One of so many classes is looked at to see which buckets are dealt anew before the shuffle; a bucket it misses is dealt anew after it.
+SAMPLE = 64
+#: Rows for a task of a search, about.
+TASK = 1_000_000
 #: Up to so many classes with candidates, the rows with their texts are picked by a broadcast.
 BROADCAST = 1_000_000
 
@@ -65,32 +74,34 @@ def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def simhash(text: str, words: int, parts: int, repeats: bool = True) -> np.ndarray:
-    """parts x 64 bits, as unsigned numbers. repeats: whether a shingle counts as often as it occurs."""
+def simhash(text: str, words: int, parts: int, repeats: bool = True) -> tuple[np.ndarray, int]:
+    """parts x 64 bits, as unsigned numbers, and how many shingles there are. repeats: whether a shingle counts as often as it occurs."""
     counts, n = np.zeros((parts, BITS), np.int64), 0
     for hashes in shingle_hashes(text, words) if repeats else [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))]:
         n += len(hashes)
         for part in range(parts):
             counts[part] += np.unpackbits(mixed(hashes, part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0] if n else np.zeros(parts, np.uint64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8")[:, 0] if n else np.zeros(parts, np.uint64), n
 
 
 def fingerprints(docs: DataFrame, words: int, parts: int = 1, repeats: bool = True) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, content (a hash of the text) and f0, f1 ...: 64 bits each."""
+    """docs: doc_id, text. Returns doc_id, content (a hash of the text), size (how many shingles) and f0, f1 ...: 64 bits each."""
     ship(docs.sparkSession)
     names = [f"f{i}" for i in range(parts)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(text, words, parts, repeats) for text in texts_of(batch["text"])], np.uint64).reshape(-1, parts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(parts))], names=["doc_id", "content", *names])
+            each = [simhash(text, words, parts, repeats) for text in texts_of(batch["text"])]
+            found = np.array([bits for bits, _ in each], np.uint64).reshape(-1, parts).view(np.int64)
+            sizes = pa.array([n for _, n in each], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], sizes, *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(parts))], names=["doc_id", "content", "size", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, content long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, content long, size long, " + ", ".join(f"{n} long" for n in names))
 
 
-def gray_order(codes: np.ndarray) -> np.ndarray:
-    """Places of codes (rows of 64-bit parts) in the order of their Gray ranks."""
+def gray_keys(codes: np.ndarray) -> list[np.ndarray]:
+    """Sort keys of codes (rows of 64-bit parts) by Gray rank, the first in order last."""
     keys, odd = [], np.zeros(len(codes), np.uint64)
     for part in codes.T:
         rank = part.copy()
@@ -99,187 +110,307 @@ def gray_order(codes: np.ndarray) -> np.ndarray:
         rank ^= odd  # after an odd number of bits the order of what follows turns round
         keys.append(rank)
         odd = np.where(rank & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-    return np.lexsort(keys[::-1])
+    return keys[::-1]
 
 
 def different(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def nodes_over(patterns: np.ndarray, vary: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes over runs: the first one's pattern, and the bits that vary under the node."""
-    starts = np.arange(0, len(patterns), run)
-    first = patterns[starts]
-    against = (patterns ^ np.repeat(first, np.diff(np.append(starts, len(patterns))), axis=0)) | vary
-    return first, np.bitwise_or.reduceat(against, starts, axis=0)
-
-
-def linked(codes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A forest of links over codes, such that codes within the radius of each other, and what chains of such join, are one tree."""
-    order = gray_order(codes)
-    codes = codes[order]
-    low = nodes_over(codes, np.zeros_like(codes), RUN)
-    high = nodes_over(*low, RUN)
-    free = np.ones(len(codes), bool)
-    links = []
-    for start in range(len(codes)):
-        if not free[start]:
-            continue
-        free[start] = False
-        waiting = [start]
+class GrayTree:
+    """Nodes over codes in the order of their buckets and of Gray ranks in each. bucket and group: a number for each code; codes of one bucket and of different groups are paired."""
+
+    def __init__(self, codes: np.ndarray, bucket: np.ndarray, group: np.ndarray, radius: int) -> None:
+        self.radius, self.seen, self.pruned = radius, 0, 0
+        pattern, vary, first, last = codes, np.zeros_like(codes), bucket, bucket
+        self.levels = [(pattern, vary, first, last)]
+        while len(pattern) > RUN:
+            starts = np.arange(0, len(pattern), RUN)
+            ends = np.minimum(starts + RUN, len(pattern))
+            upper = pattern[starts]
+            vary = np.bitwise_or.reduceat((pattern ^ np.repeat(upper, ends - starts, axis=0)) | vary, starts, axis=0)
+            pattern, first, last = upper, first[starts], last[ends - 1]
+            self.levels.append((pattern, vary, first, last))
+        self.regroup(group)
+
+    def regroup(self, group: np.ndarray) -> None:
+        """What is one group by now isn't paired any more."""
+        low, high = group, group
+        self.groups = [(low, high)]
+        for _ in self.levels[1:]:
+            starts = np.arange(0, len(low), RUN)
+            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+            self.groups.append((low, high))
+
+    def left(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of nodes, the first never after the second, that may have a pair of codes under them."""
+        pattern, vary, first, last = self.levels[level]
+        low, high = self.groups[level]
+        seen = len(a)
+        keep = (last[a] >= first[b]) & ((low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b]))
+        a, b = a[keep], b[keep]
+        keep = np.bitwise_count((pattern[a] ^ pattern[b]) & ~(vary[a] | vary[b])).sum(axis=1, dtype=np.int32) <= self.radius
+        if level:
+            self.seen += seen
+            self.pruned += seen - int(keep.sum())
+        return a[keep], b[keep]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of codes within the radius, in parts. regroup() between these counts from the next on."""
+        top = len(self.levels) - 1
+        a, b = np.triu_indices(len(self.levels[top][0]), 0 if top else 1)
+        waiting = [(top, *self.left(top, a, b))]
         while waiting:
-            at = waiting.pop()
-            code = codes[at]
-            upper = np.flatnonzero(np.bitwise_count((high[0] ^ code) & ~high[1]).sum(axis=1) <= radius)
-            lower = (upper[:, None] * RUN + np.arange(RUN)).ravel()
-            lower = lower[lower < len(low[0])]
-            lower = lower[np.bitwise_count((low[0][lower] ^ code) & ~low[1][lower]).sum(axis=1) <= radius]
-            leaves = (lower[:, None] * RUN + np.arange(RUN)).ravel()
-            leaves = leaves[leaves < len(codes)]
-            leaves = leaves[free[leaves]]
-            near = leaves[different(codes[leaves], code) <= radius]
-            free[near] = False
-            waiting.extend(near.tolist())
-            links.extend((int(order[at]), int(order[x])) for x in near)
-    return links
-
-
-def few_linked(codes: np.ndarray, bucket: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in buckets of up to FEW, all at once. bucket: number of each code's bucket, in order."""
-    a, b = [], []
-    for step in range(1, min(FEW, int(sizes.max(initial=0)))):
-        same = np.flatnonzero(bucket[step:] == bucket[:-step])
-        same = same[different(codes[same], codes[same + step]) <= radius]
-        a.append(same)
-        b.append(same + step)
-    none = np.zeros(0, int)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-
-def nearest(codes: np.ndarray, radius: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each code to the count nearest ones within the radius, of the up to BUCKET about it in Gray order."""
-    order = gray_order(codes)
-    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
-    for start in range(0, len(codes), BUCKET):
-        near = codes[order[start : start + BUCKET]]
-        if len(near) <= count:
-            continue
-        for at in range(0, len(near), 128):
-            apart = different(near[at : at + 128, None], near[None])
-            own = np.arange(len(apart))
-            apart[own, at + own] = radius + 1
-            best = np.argpartition(apart, count - 1, axis=1)[:, :count]
-            row, column = np.nonzero(np.take_along_axis(apart, best, 1) <= radius)
-            a.append(order[start + at + row])
-            b.append(order[start + best[row, column]])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def blocks_of(mask: int, parts: int = 4) -> list[int]:
-    """Masks that join to the given one a block of the other bits each."""
-    rest = [i for i in range(BITS) if not mask >> i & 1]
-    cuts = [len(rest) * i // parts for i in range(parts + 1)]
-    return [mask | sum(1 << i for i in rest[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            level, a, b = waiting.pop()
+            if not level:
+                if len(a):
+                    yield a, b
+                continue
+            for at in range(PAIRS, len(a), PAIRS):
+                waiting.append((level, a[at : at + PAIRS], b[at : at + PAIRS]))
+            a, b = a[:PAIRS], b[:PAIRS]
+            size = len(self.levels[level - 1][0])
+            below = np.arange(RUN)
+            one = np.broadcast_to((a[:, None] * RUN + below)[:, :, None], (len(a), RUN, RUN)).ravel()
+            other = np.broadcast_to((b[:, None] * RUN + below)[:, None, :], (len(a), RUN, RUN)).ravel()
+            real = (one < size) & (other < size) & ((one < other) if level == 1 else (one <= other))
+            waiting.append((level - 1, *self.left(level - 1, one[real], other[real])))
+
+
+class Forest:
+    """Numbers 0 to n - 1, joined by pairs; root: the smallest that each is joined to."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Returns those of the pairs that joined what was apart: no two of them the same trees."""
+        used = []
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return tuple(np.concatenate(z) for z in zip((np.zeros(0, int),) * 2, *used, strict=True))  # type: ignore[return-value]
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            order = np.lexsort((low, high))
+            first = order[np.append(True, np.diff(high[order]) != 0)]
+            self.root[high[first]] = low[first]
+            used.append((a[first], b[first]))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def linked(codes: np.ndarray, bucket: np.ndarray, radius: int, passes=None, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of links between codes of the same bucket, such that codes within the radius of each other, and what chains of such join, are one tree. passes(a, b): which of the pairs count."""
+    order = np.lexsort((*gray_keys(codes), bucket))
+    tree, forest = GrayTree(codes[order], bucket[order], np.arange(len(codes)), radius), Forest(len(codes))
+    found, since = [(np.zeros(0, int), np.zeros(0, int))], 0
+    for a, b in tree.pairs():
+        if passes is not None:
+            keep = passes(order[a], order[b])
+            a, b = a[keep], b[keep]
+        a, b = forest.join(a, b)
+        found.append((order[a], order[b]))
+        since += len(a)
+        if 16 * since > len(codes):
+            tree.regroup(forest.root)
+            since = 0
+    if counts is not None:
+        counts["seen"], counts["pruned"] = counts.get("seen", 0) + tree.seen, counts.get("pruned", 0) + tree.pruned
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def apart(codes: np.ndarray, bucket: np.ndarray, group: np.ndarray, radius: int, passes=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of codes of the same bucket and of different groups within the radius, in parts."""
+    order = np.lexsort((*gray_keys(codes), group, bucket))
+    tree = GrayTree(codes[order], bucket[order], np.unique(group[order], return_inverse=True)[1], radius)
+    for a, b in tree.pairs():
+        a, b = order[a], order[b]
+        if passes is not None:
+            keep = passes(a, b)
+            a, b = a[keep], b[keep]
+        yield a, b
+
+
+@dataclass(frozen=True)
+class Deal:
+    """Masks, a number for each part of a code. What is dealt anew goes under those of the next deal."""
+
+    masks: tuple[tuple[int, ...], ...]
+
+
+def blocks(of) -> Deal:
+    """Masks of one part: bits of the same of(place) are a block."""
+    kinds = sorted({of(i) for i in range(BITS)})
+    return Deal(tuple((sum(1 << i for i in range(BITS) if of(i) == kind),) for kind in kinds))
+
+
+def exact_deals(radius: int) -> list[Deal]:
+    """Blocks of one part, one more than the bits that may differ: whole runs, then bits spread over the runs in two ways."""
+    n = radius + 1
+    return [blocks(lambda i: i * n // BITS), blocks(lambda i: i % n), blocks(lambda i: i // n % n)]
+
+
+def random_deal(parts: int, bits: int, count: int, seed: int) -> Deal:
+    """Masks of so many bits each, drawn from all parts."""
+    rng = np.random.default_rng(seed)
+    drawn = [rng.choice(BITS * parts, bits, replace=False) for _ in range(count)]
+    return Deal(tuple(tuple(sum(1 << int(b % BITS) for b in mask if b // BITS == part) for part in range(parts)) for mask in drawn))
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _search(radius: int, parts: int, again: bool, count: int = 0):
-    """count: how many nearest ones in a large bucket each class is linked with besides."""
-    names = [f"f{i}" for i in range(parts)]
+def gray_rank(code: Column) -> Column:
+    """Of a long as 64 bits; the first bit is turned, so that signed order is that of the ranks."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def dealt(rows: DataFrame, names: list[str], deal: Deal, anew: bool) -> DataFrame:
+    """rows: names and what else they have. A row for each mask, with bucket and pattern; anew: rows have these already, and the new ones are within the old."""
+    further = [c for c in rows.columns if c not in ("bucket", "pattern")]
+    kinds = []
+    for i, mask in enumerate(deal.masks):  # as text: Spark parses it at once, where hundreds of Columns would be as many calls
+        under = [f"{n} & CAST('{signed(m)}' AS BIGINT)" for n, m in zip(names, mask, strict=True) if m]
+        bucket = f"bucket * {len(deal.masks)} + {i}" if anew else f"{i}"
+        pattern = f"xxhash64({', '.join(['pattern'] * anew + under)})" if anew or len(names) > 1 else under[0]
+        kinds.append(f"struct(CAST({bucket} AS BIGINT) AS bucket, {pattern} AS pattern)")
+    out = rows.selectExpr(*further, f"inline(array({', '.join(kinds)}))")
+    return out if anew or len(names) > 1 else out.withColumn("pattern", gray_rank(F.col("pattern")))
+
+
+_LINKS = "kind string, a long, b long, bucket long"
+
+
+def _search(names: list[str], radius: int, again: bool, least: float | None, every: bool):
+    """every: all pairs of different groups; else a forest. least: the smallest share that the smaller of two sizes is of the larger."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: str, key: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(key), pa.string()), pa.array(key, pa.int64()), pa.array(other, pa.int64())], names=["kind", "a", "b"])
+        def out(kind: str, a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.string()), *(pa.array(x, pa.int64()) for x in (a, b, bucket))], names=["kind", "a", "b", "bucket"])
 
-        def found(bucket: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """bucket: mask and pattern of each row, sorted."""
-            if not len(ids):
-                return
-            starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]).any(axis=1)))
-            sizes = np.diff(np.append(starts, len(ids)))
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """rows: bucket, pattern, id, size, group, codes; buckets whole and one after another."""
+            starts = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
+            sizes = np.diff(np.append(starts, len(rows)))
             number = np.repeat(np.arange(len(starts)), sizes)
-            keep = np.flatnonzero((sizes > 1) & (sizes <= FEW))
-            small = np.flatnonzero(np.isin(number, keep))
-            a, b = few_linked(codes[small], number[small], sizes[keep], radius)
-            yield out("link", ids[small[a]], ids[small[b]])
-            for s, n in zip(starts[sizes > FEW], sizes[sizes > FEW], strict=True):
-                if again and n > BUCKET:
-                    for mask in blocks_of(int(bucket[s, 0]) & 0xFFFFFFFFFFFFFFFF, radius + 1):
-                        yield out("again", ids[s : s + n], np.full(n, signed(mask), np.int64))
-                    continue
-                pairs = np.array(linked(codes[s : s + n], radius), int).reshape(-1, 2) + s
-                yield out("link", ids[pairs[:, 0]], ids[pairs[:, 1]])
-                if count:
-                    a, b = nearest(codes[s : s + n], radius, count)
-                    yield out("link", ids[s + a], ids[s + b])
-
-        held = None
+            if again and (over := sizes > BUCKET).any():
+                more = rows[over[number]]
+                yield out("again", more[:, 2], more[:, 1], more[:, 0])
+            keep = (sizes > 1) & ~(again & (sizes > BUCKET))
+            rows, number = rows[keep[number]], number[keep[number]]
+            if not len(rows):
+                return
+            ids, counted, group, codes = rows[:, 2], rows[:, 3], rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+            passes = None if least is None else lambda a, b: np.minimum(counted[a], counted[b]) >= least * np.maximum(counted[a], counted[b]) - 1e-6
+            for a, b in apart(codes, number, group, radius, passes) if every else [linked(codes, number, radius, passes)]:
+                for at in range(0, len(a), CHUNK):
+                    x, y = ids[a[at : at + CHUNK]], ids[b[at : at + CHUNK]]
+                    yield out("link", x, y, np.zeros(len(x), np.int64))
+
+        held, n, need, over = [], 0, CHUNK, None
         for batch in batches:
-            table = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("mask", "pattern", "id", *names)], axis=1)
-            table = table if held is None else np.concatenate([held, table])
-            if not len(table):
+            rows = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("bucket", "pattern", "id", "size", "group", *names)], axis=1)
+            if over is not None and len(rows):  # a bucket that is dealt anew goes through
+                same = (rows[:, :2] == over).all(axis=1)
+                count = len(rows) if same.all() else int(np.argmin(same))
+                yield out("again", rows[:count, 2], rows[:count, 1], rows[:count, 0])
+                over, rows = (over if count == len(rows) else None), rows[count:]
+            held.append(rows)
+            n += len(rows)
+            if n < need:
                 continue
-            edges = np.flatnonzero((table[1:, :2] != table[:-1, :2]).any(axis=1)) + 1
+            whole = np.concatenate(held)
+            edges = np.flatnonzero((whole[1:, :2] != whole[:-1, :2]).any(axis=1)) + 1
             cut = int(edges[-1]) if len(edges) else 0  # the last bucket may go on
-            yield from found(table[:cut, :2], table[:cut, 2], np.ascontiguousarray(table[:cut, 3:]).view(np.uint64))
-            held = table[cut:]
-        if held is not None:
-            yield from found(held[:, :2], held[:, 2], np.ascontiguousarray(held[:, 3:]).view(np.uint64))
+            if cut:
+                yield from found(whole[:cut])
+            whole = whole[cut:]
+            if again and len(whole) > BUCKET:
+                yield out("again", whole[:, 2], whole[:, 1], whole[:, 0])
+                over, whole = whole[0, :2].copy(), whole[:0]
+            held, n = [whole], len(whole)
+            need = max(CHUNK, 2 * n)
+        if n:
+            yield from found(np.concatenate(held))
 
     return run
 
 
-def class_links(classes: DataFrame, parts: int, masks: list[list[int]], radius: int, exact: bool) -> DataFrame:
-    """classes: id, f0 ...; masks: of each, a number for each part. Returns a, b: ids of linked classes, enough to join all that chains of links join.
-
-    exact: the masks are the blocks of one part, so that large buckets can be dealt anew. If not, what is returned are candidates."""
-    names = [f"f{i}" for i in range(parts)]
-
-    def pattern(mask: list[int]):
-        under = [F.col(n).bitwiseAND(F.lit(signed(m))) for n, m in zip(names, mask, strict=True) if m]
-        return under[0] if len(under) == 1 else F.xxhash64(*under)
-
-    rows = classes.select("id", *names, F.explode(F.array(*(F.struct(F.lit(signed(m[0]) if exact else i).cast("long").alias("mask"), pattern(m).alias("pattern")) for i, m in enumerate(masks)))).alias("bucket"))
-    rows = rows.select("bucket.mask", "bucket.pattern", "id", *names)
-    links, level = [], 0
-    while True:
-        again = exact and level < 2
-        swept = written(rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_search(radius, parts, again, 0 if exact else NEAREST), "kind string, a long, b long"), "links")
+def class_links(classes: DataFrame, names: list[str], deals: list[Deal], radius: int, least: float | None = None, every: bool = False, start: int = 0) -> DataFrame:
+    """classes: id, size, group, and the codes' names. Returns a, b: ids of linked classes; a table, which the caller may drop.
+
+    A forest in each bucket, or every pair of different groups. A bucket of more than BUCKET classes is dealt anew, those found in a sample before the shuffle, so that none of
+    them goes to one task; the last deal's are searched as they are. start: the deals before it are gone through at once."""
+    spark = classes.sparkSession
+    columns = ["id", "size", "group", *names]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, n, links, made = classes.select(*columns), classes.count(), [], []
+    for depth in range(start):
+        rows = dealt(rows, names, deals[depth], depth > 0)
+        n *= len(deals[depth].masks)
+    for depth in range(start, len(deals)):
+        last, source = depth == len(deals) - 1, rows
+        rows = dealt(source, names, deals[depth], depth > 0)
+        n *= len(deals[depth].masks)
+        hot = None
+        if not last:
+            few = dealt(source.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0), names, deals[depth], depth > 0)
+            hot = written(few.groupBy("bucket", "pattern").count().filter(F.col("count") * SAMPLE > 2 * BUCKET).select("bucket", "pattern"), "hot")  # at most a row for 2 x BUCKET of all
+            made.append(hot)
+            if hot.isEmpty():
+                hot = None
+        cold = rows if hot is None else rows.join(F.broadcast(hot), ["bucket", "pattern"], "left_anti")
+        ranges = max(tasks, -(-n // TASK))
+        cold = cold.repartitionByRange(ranges, "bucket", "pattern") if len(names) == 1 else cold.repartition(ranges, "bucket", "pattern")
+        swept = written(cold.sortWithinPartitions("bucket", "pattern").mapInArrow(_search(names, radius, not last, least, every), _LINKS), "links")
+        made.append(swept)
         links.append(swept.filter("kind = 'link'").select("a", "b"))
-        level += 1
-        if not again or swept.filter("kind = 'again'").isEmpty():
+        if last:
+            break
+        over = swept.filter("kind = 'again'").select(F.col("a").alias("id"), F.col("b").alias("pattern"), "bucket")
+        more = [] if over.isEmpty() else [over.join(classes.select(*columns), "id").select(*columns, "bucket", "pattern")]
+        if hot is not None:
+            more.append(rows.join(F.broadcast(hot), ["bucket", "pattern"], "left_semi").select(*columns, "bucket", "pattern"))
+        if not more:
             break
-        rows = swept.filter("kind = 'again'").select(F.col("b").alias("mask"), F.col("a").alias("id")).join(classes, "id").select("mask", F.expr("f0 & mask").alias("pattern"), "id", *names)
-    whole = links[0]
-    for more in links[1:]:
-        whole = whole.unionByName(more)
-    return whole
+        rows = written(reduce(DataFrame.unionByName, more), "again")
+        made.append(rows)
+        n = rows.count()
+    found = written(reduce(DataFrame.unionByName, links).distinct(), "links")
+    for table in made:
+        drop(table)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns id, root: for every id in a link that isn't the smallest of its component, that smallest one. Large-star and small-star in turn, until nothing changes."""
     ordered = links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct()
     state, before = written(ordered, "star"), None
+    total = state.count()
     while True:
         # large-star: from each node, its larger neighbours go to its smallest
         both = state.unionByName(state.select(F.col("u").alias("v"), F.col("v").alias("u")))  # v: the node, u: a neighbour
         least = written(both.groupBy("v").agg(F.count("*").alias("n"), F.least(F.min("u"), F.col("v")).alias("m")), "star-least")
-        large = looked_up(both, "v", least).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        large = looked_up(both, "v", least, total=2 * total).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         large = written(large.filter("v <> u").distinct(), "star-large")
         drop(least)
         # small-star: each node and its smaller neighbours go to the smallest of them
         least = written(large.groupBy("v").agg(F.count("*").alias("n"), F.min("u").alias("m")), "star-least")
-        small = looked_up(large, "v", least).select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
+        small = looked_up(large, "v", least, total=total).select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
         old, state = state, written(small.filter("v <> u").distinct(), "star")
         mark = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         for table in (old, large, least):
             drop(table)
         if mark == before or not mark[0]:
-            return state.select(F.col("v").alias("id"), F.col("u").alias("root"))
-        before = mark
+            found = written(state.select(F.col("v").alias("id"), F.col("u").alias("root")), "roots")
+            drop(state)
+            return found
+        before, total = mark, mark[0]
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -302,7 +433,7 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
 
 
 def verified(links: DataFrame, contents: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """links: a, b; contents: id, content of each class. Returns those of the links whose texts' sets of shingles are similar."""
+    """links: a, b; contents: id, content of each class. Returns those of the links whose texts' sets of shingles are similar; a table, which the caller may drop."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,45 +450,75 @@ def verified(links: DataFrame, contents: DataFrame, docs: DataFrame, words: int,
     sides = pairs
     for end in ("a", "b"):
         sides = looked_up(sides, end, sets.select(F.col("id").alias(end), "n", F.col("set").alias(f"set_{end}")))
-    return written(sides.mapInArrow(run, "a long, b long"), "links")
+    found = written(sides.mapInArrow(run, "a long, b long"), "links")
+    for table in (pairs, ends, sets):
+        drop(table)
+    return found
 
 
-def grouped(docs: DataFrame, words: int, parts: int, masks: list[list[int]], radius: int, exact: bool, repeats: bool = True, least: float | None = None) -> DataFrame:
-    """doc_id, content, f0 ..., group (one number for all that chains of links reach) and component_id, the smallest id of the group.
+def classes_of(prints: DataFrame, names: list[str]) -> DataFrame:
+    """prints with their class: the codes, hashed if there are several."""
+    return prints.withColumn("id", F.col(names[0]) if len(names) == 1 else F.xxhash64(*names))
 
-    least: the similarity of the sets of shingles that a link must have; without one, the radius decides."""
-    names = [f"f{i}" for i in range(parts)]
-    prints = written(fingerprints(docs, words, parts, repeats), "fingerprints")
-    key = F.col("f0") if parts == 1 else F.xxhash64(*names)  # classes of equal fingerprints
-    prints = prints.withColumn("id", key)
-    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
-    links = class_links(classes.select("id", *names), parts, masks, radius, exact)
-    if least is not None:
-        links = verified(links, classes.select("id", "content"), docs, words, least)
+
+def grouped(prints: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """prints: doc_id, content, id and others; classes: id, n, first; links: a, b. Returns prints with group (one number for all that chains of links reach) and component_id, the smallest id of the group."""
     roots = components(links)
     known = written(classes.join(roots, "id", "left").select("id", "n", "first", F.coalesce("root", "id").alias("group")), "classes")
     firsts = known.groupBy("group").agg(F.min("first").alias("component_id"), F.count("*").alias("n")).filter("n > 1")
     named = looked_up(known, "group", firsts).select("id", "n", "group", F.coalesce("component_id", "first").alias("component_id"))
-    return looked_up(prints, "id", written(named, "components")).select("doc_id", "content", *names, "group", "component_id")
+    named = written(named, "components")
+    drop(roots)
+    drop(known)
+    return looked_up(prints, "id", named)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, fingerprint (16 hexadecimal digits) and component_id, of all links at radius differing bits or fewer."""
-    found = grouped(docs, words, 1, [[m] for m in blocks_of(0, radius + 1)], radius, exact=True)
+    prints = classes_of(written(fingerprints(docs, words), "fingerprints"), ["f0"])
+    classes = written(prints.groupBy("id").agg(F.first("f0").alias("f0"), F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    # with more classes than that, nearly all buckets of the first deal would be dealt anew
+    start = 1 if classes.count() > BUCKET << BITS // (radius + 1) else 0
+    links = class_links(classes.select("id", F.lit(0).cast("long").alias("size"), F.col("id").alias("group"), "f0"), ["f0"], exact_deals(radius), radius, start=start)
+    found = grouped(prints, classes, links)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def random_masks(parts: int, bits: int, count: int, seed: int = 11) -> list[list[int]]:
-    """Masks of so many bits each, drawn from all parts."""
-    rng = np.random.default_rng(seed)
-    drawn = [rng.choice(BITS * parts, bits, replace=False) for _ in range(count)]
-    return [[sum(1 << int(b % BITS) for b in mask if b // BITS == part) for part in range(parts)] for mask in drawn]
-
-
 #: For similarity 0.8 of the sets of shingles: the cosine is about 0.89, and 15 % of the bits differ, give or take 2 %; by the binomial model, more
-#: than the radius with a chance of 0.0003. A bucket is of the classes that are equal in MASK_BITS drawn bits; such a pair meets in one of MASKS buckets with a
-#: chance of 0.999. What meets within the radius is a candidate and is verified.
-SIMILAR, SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MASKS = 0.8, 4, 58, 18, 128
+#: than the radius with a chance of 0.0003. A bucket is of the classes that are equal in so many drawn bits, at least MASK_BITS; such a pair meets in one of the masks' buckets
+#: with a chance of MET, and so do in a bucket that is dealt anew those that met in it. What meets within the radius is a candidate and is verified.
+SIMILAR, SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MET, ALIKE_BITS = 0.8, 4, 58, 18, 0.999, 0.8485
+#: The forest that joins near copies first: its masks, and bits that may differ.
+FIRST_MASKS, FIRST_RADIUS = 16, 40
+#: What a bucket has of other texts, about, as a power of two.
+OTHERS = 6
+
+
+def masks_for(bits: int) -> int:
+    """So many masks that a pair meets with a chance of MET."""
+    return math.ceil(math.log(1 - MET) / math.log(1 - ALIKE_BITS**bits))
+
+
+def similar_groups(docs: DataFrame, words: int) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, content and group: texts whose sets of shingles have a similarity of SIMILAR or more, and what chains of such reach, are one group."""
+    names = [f"f{i}" for i in range(SIMILAR_PARTS)]
+    prints = classes_of(written(fingerprints(docs, words, SIMILAR_PARTS, repeats=False), "fingerprints"), names)
+    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.first("size").alias("size"), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
+    bits = max(MASK_BITS, math.ceil(math.log2(classes.count() + 1)) - OTHERS)
+    deals = [random_deal(SIMILAR_PARTS, bits, masks_for(bits), 11), random_deal(SIMILAR_PARTS, 8, masks_for(8), 12)]
+    first = [Deal(deals[0].masks[:FIRST_MASKS]), deals[1]]
+    contents = classes.select("id", "content")
+    candidates = class_links(classes.select("id", "size", F.col("id").alias("group"), *names), names, first, FIRST_RADIUS, SIMILAR)
+    joined = verified(candidates, contents, docs, words, SIMILAR)
+    drop(candidates)
+    roots = components(joined)
+    apart_ = written(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), *names), "apart")
+    candidates = class_links(apart_, names, deals, SIMILAR_RADIUS, SIMILAR, every=True)
+    rest = verified(candidates, contents, docs, words, SIMILAR)
+    found = grouped(prints, classes, joined.unionByName(rest)).select("doc_id", "content", "group")
+    for table in (roots, apart_, candidates, joined, rest):
+        drop(table)
+    return found
 
 
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -365,10 +526,8 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
 
     A bit of a fingerprint differs with the angle between two sets, so that candidates are within a radius of 256 bits; their sets decide. The row that stays is the one with the
     smallest id that isn't null, of several such the one whose text has the smallest hash."""
-    masks = random_masks(SIMILAR_PARTS, MASK_BITS, MASKS)
-    found = grouped(docs, words, SIMILAR_PARTS, masks, SIMILAR_RADIUS, exact=False, repeats=False, least=SIMILAR)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content"))
-    kept = found.groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias("vitrine_id"), F.col("kept.content").alias("vitrine_content"))
-    left = docs.withColumn("vitrine_text", F.xxhash64("text"))
-    left = left.join(kept, left["doc_id"].eqNullSafe(kept["vitrine_id"]) & (left["vitrine_text"] == kept["vitrine_content"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "vitrine_text"]).drop("vitrine_text")
+    mark, ids, contents = (unused(f"vitrine_{n}", docs) for n in ("text", "id", "content"))
+    kept = similar_groups(docs, words).groupBy("group").agg(first.alias("kept")).select(F.col("kept.doc_id").alias(ids), F.col("kept.content").alias(contents))
+    left = docs.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark])  # repeated rows are one before they are sent on
+    return left.join(kept, F.col("doc_id").eqNullSafe(F.col(ids)) & (F.col(mark) == F.col(contents)), "left_semi").drop(mark)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vitrine.llm.license import PHRASES, TEMPLATES, THRESHOLD
+from vitrine.llm.decontaminate import LEAST, MASKS, MISMATCH, SHARE, SPAN
+from vitrine.llm.license import PHRASES, SENTENCE_END, TEMPLATES, THRESHOLD, notices, words_of
 
 #: The strength of a level's prior: prior_strength() of urls.py in SQL.
 _STRENGTH = """
@@ -58,41 +59,59 @@ FROM payloads LEFT JOIN firsts USING (payload_digest)
 """
 
 
-#: Words are compared themselves, not by hash. The tables have no items under ten words, which are found as a whole only.
-DECONTAMINATE = """
-WITH mask(seed, places) AS (VALUES (0, [0, 1, 3, 4, 7, 8, 9]), (1, [0, 1, 2, 5, 7, 8, 9]), (2, [0, 2, 3, 5, 6, 8, 9])),
+_MASKS = ", ".join(f"({i}, {[p for p, c in enumerate(mask) if c == '1']})" for i, mask in enumerate(MASKS))
+
+#: Words are compared themselves, not by hash. The tables have no items under twelve words, which have seeds of their own.
+DECONTAMINATE = f"""
+WITH mask(seed, places) AS (VALUES {_MASKS}),
 item AS (
   SELECT min(item_id) AS item_id, count(*) AS items, words FROM (
-    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM benchmark)
-  GROUP BY words HAVING len(words) >= 10),
-doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS words FROM documents),
+    SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM benchmark)
+  GROUP BY words HAVING len(words) >= {SPAN}),
+doc AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS words FROM documents),
 item_window AS (SELECT item_id, seed, i AS item_at, list_transform(places, lambda p: words[i + p + 1])::VARCHAR AS key
-                FROM (SELECT *, unnest(range(len(words) - 9)) AS i FROM item), mask),
+                FROM (SELECT *, unnest(range(len(words) - {SPAN - 1})) AS i FROM item), mask),
 doc_window AS (SELECT doc_id, seed, i AS spot, list_transform(places, lambda p: words[i + p + 1])::VARCHAR AS key
-               FROM (SELECT *, unnest(range(greatest(0, len(words) - 9))) AS i FROM doc), mask),
-hit AS (SELECT doc_id, item_id, spot, item_at, seed FROM doc_window JOIN item_window USING (seed, key)),
+               FROM (SELECT *, unnest(range(greatest(0, len(words) - {SPAN - 1}))) AS i FROM doc), mask),
+lying AS (SELECT doc_id, item_id, spot - item_at AS shift, count(*) AS hits, min(spot) AS first_hit FROM doc_window JOIN item_window USING (seed, key) GROUP BY ALL),
 side AS (
-  SELECT hit.*, unnest(range(greatest(item_at - 48, item_at - spot, 0), least(item_at + 58, len(d.words) - spot + item_at, len(i.words)))) AS p, d.words AS own, i.words AS its
-  FROM hit JOIN doc d USING (doc_id) JOIN item i USING (item_id)),
+  SELECT doc_id, item_id, shift, unnest(range(greatest(0, -shift), least(len(d.words) - shift, len(i.words)))) AS p, d.words AS own, i.words AS its
+  FROM lying JOIN doc d USING (doc_id) JOIN item i USING (item_id)),
 run AS (
-  SELECT doc_id, item_id, spot, item_at, seed, p, sum(CASE WHEN own[p + spot - item_at + 1] = its[p + 1] THEN 1.0::DOUBLE ELSE -1.5::DOUBLE END) OVER (PARTITION BY doc_id, item_id, spot, item_at, seed ORDER BY p) AS total FROM side),
+  SELECT doc_id, item_id, shift, p, sum(CASE WHEN own[p + shift + 1] = its[p + 1] THEN 1.0::DOUBLE ELSE -{MISMATCH}::DOUBLE END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p) AS total FROM side),
 best AS (
-  SELECT doc_id, item_id, spot, total - least(0, coalesce(min(total) OVER (PARTITION BY doc_id, item_id, spot, item_at, seed ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM run),
-pair AS (SELECT doc_id, item_id, max(score) AS score FROM best GROUP BY ALL HAVING max(score) >= 8)
-SELECT doc_id, item_id, items, len(words)::INTEGER AS item_words, hits, score, first_word
-FROM pair JOIN (SELECT doc_id, item_id, count(*) AS hits, min(spot)::BIGINT AS first_word FROM hit GROUP BY ALL) USING (doc_id, item_id) JOIN item USING (item_id)
+  SELECT doc_id, item_id, shift, total - least(0, coalesce(min(total) OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS score FROM run),
+scored AS (SELECT doc_id, item_id, shift, max(score) AS score FROM best GROUP BY ALL)
+SELECT doc_id, item_id, items, len(words)::INTEGER AS item_words, sum(hits)::BIGINT AS hits, max(score) AS score, min(first_hit)::BIGINT AS first_word
+FROM scored JOIN lying USING (doc_id, item_id, shift) JOIN item USING (item_id)
+WHERE score >= least({LEAST}::DOUBLE, {SHARE}::DOUBLE * len(words)) GROUP BY ALL
 """
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
+
+def _windows(words: str, templates: list[tuple[str, str]]) -> str:
+    """Distinct words of the windows of a list of words: twice the longest template's, half over the next."""
+    n = max(len(words_of(t)) for _, t in templates)
+    return f"SELECT doc_id, list_distinct(words[spot + 1 : spot + {2 * n}]) AS block FROM (SELECT doc_id, words, unnest(range(0, greatest(1, len(words) - {n}), {n})) AS spot FROM {words})"
+
+
+def _met(block: str, templates: list[tuple[str, str]]) -> str:
+    rows = ", ".join(f"('{label}', list_distinct({[w.decode() for w in words_of(t)]}))" for label, t in templates)
+    return f"SELECT doc_id, label, len(list_intersect(template, block)) / len(template)::DOUBLE AS share FROM {block}, (VALUES {rows}) AS t(label, template) WHERE len(list_intersect(template, block)) >= ceil({THRESHOLD} * len(template) - 1e-9)"
+
+
+_SENTENCES, _NOTICES = notices(TEMPLATES)
+
 LICENSE = f"""
-WITH doc AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_WORD}') AS words, regexp_split_to_array({_FOLDED}, '[.!?] |\n') AS blocks FROM documents),
+WITH doc AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '{_WORD}') AS words, {_FOLDED} AS folded FROM documents),
 phrase(label, phrase) AS (VALUES {", ".join(f"('{label}', {phrase.split()})" for phrase, label in PHRASES)}),
-template(label, template) AS (VALUES {", ".join(f"('{label}', list_distinct({words.split()}))" for label, words in TEMPLATES)}),
 place AS (SELECT doc_id, i AS spot, label FROM (SELECT *, unnest(range(len(words))) AS i FROM doc), phrase WHERE words[i + 1 : i + len(phrase)] = phrase),
-block AS (SELECT doc_id, list_distinct(regexp_extract_all(b, '{_WORD}')) AS block FROM (SELECT doc_id, unnest(blocks) AS b FROM doc)),
-met AS (SELECT doc_id, label, len(list_intersect(template, block)) / len(template)::DOUBLE AS share FROM block, template WHERE len(list_intersect(template, block)) >= ceil({THRESHOLD} * len(template) - 1e-9)),
+sentence AS (SELECT doc_id, regexp_extract_all(s, '{_WORD}') AS words FROM (SELECT doc_id, unnest(regexp_split_to_array(folded, '{SENTENCE_END}')) AS s FROM doc)),
+sentence_block AS ({_windows("sentence", _SENTENCES)}),
+notice_block AS ({_windows("doc", _NOTICES)}),
+met AS ({_met("sentence_block", _SENTENCES)} UNION ALL {_met("notice_block", _NOTICES)}),
 base AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM place GROUP BY doc_id),
 every AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels FROM (SELECT doc_id, label FROM place UNION ALL SELECT doc_id, label FROM met) GROUP BY doc_id),
 best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id)

@@ -74,6 +74,34 @@ def test_all_pairs_of_different_groups(parts, radius, flips):
         bucket, group = rng.integers(0, 2, len(codes)), rng.integers(0, 4, len(codes)) * 7 - 9
         found = [tuple(sorted(p)) for a, b in simhash.apart(codes, bucket, group, radius) for p in zip(a.tolist(), b.tolist(), strict=True)]
         assert sorted(found) == [(a, b) for a, b in all_links(codes, radius) if bucket[a] == bucket[b] and group[a] != group[b]]
+        near = {}
+        for a, b in found:
+            x = int(simhash.different(codes[a], codes[b]))
+            near[a], near[b] = min(near.get(a, 99), x), min(near.get(b, 99), x)
+        a, b = simhash.nearest_apart(codes, bucket, group, radius)
+        assert dict(zip(a.tolist(), simhash.different(codes[a], codes[b]).tolist(), strict=True)) == near and (group[a] != group[b]).all() and (bucket[a] == bucket[b]).all()
+
+
+@pytest.mark.parametrize("held", [1 << 19, 50])
+def test_forest_of_least_distances(monkeypatch, held):
+    """Against Kruskal's algorithm: the same total distance; by steps, not over it by more than a step for each link."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    for seed in range(3):
+        codes = clustered(random.Random(seed + 20), 300, 60, 4)
+        a, b = simhash.linked(codes, np.zeros(len(codes), int), 58, nearest=True)
+        found = sorted(simhash.different(codes[a], codes[b]).tolist())
+        parent, expected = list(range(len(codes))), []
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for d, i, j in sorted((int(simhash.different(codes[i], codes[j])), i, j) for i, j in all_links(codes, 58)):
+            if find(i) != find(j):
+                parent[find(i)] = find(j)
+                expected.append(d)
+        assert len(found) == len(expected) and (found == sorted(expected) if held > 50 else sum(found) <= sum(expected) + 58 // 8 * len(found) + 58)
 
 
 def test_gray_order():
@@ -126,8 +154,8 @@ def test_deals_are_sure():
         assert 1 - (1 - 0.8485**bits) ** simhash.masks_for(bits) >= 0.999
 
 
-def run_search(batches, again, every=False):
-    return pa.Table.from_batches(list(simhash._search(["f0"], 3, again, None, every)(iter(batches))))
+def run_search(batches, again):
+    return pa.Table.from_batches(list(simhash._search(["f0"], 3, again, None, False)(iter(batches))))
 
 
 def test_large_buckets_are_dealt_anew():

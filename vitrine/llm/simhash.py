@@ -11,9 +11,9 @@ shares and the pattern there. A search goes down from the top with pairs of node
 differ in more bits than the limit, that has no bucket in common, or that is joined already: a group of n near copies gives
 n - 1 links, not all pairs. Links make components by large-star and small-star rounds.
 
-Where a similarity of the sets of shingles is asked for, what meets is a candidate and is verified on the sets. First a
-forest of near links in a few of the buckets joins groups of near copies; then all candidates, of all buckets, between what is
-still apart are verified, without a limit on their number.
+Where a similarity of the sets of shingles is asked for, what meets is a candidate and is verified on the sets. First each
+bucket's forest of least distances joins groups of near copies, with fewer links than it has classes; then each class's nearest
+in each bucket of what it is still apart from. So candidates grow with the classes, not with the square of a group; README says what is lost by that.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any others. A null id is
 never the smallest of its component; a component without ids has a null one. Repeated rows are returned each. Tables may be
@@ -201,21 +201,53 @@ class Forest:
                 self.root = self.root[self.root]
 
 
-def linked(codes: np.ndarray, bucket: np.ndarray, radius: int, passes=None, counts: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of links between codes of the same bucket, such that codes within the radius of each other, and what chains of such join, are one tree. passes(a, b): which of the pairs count."""
+#: Pairs that are held to be sorted at once; where there are more, the nearest are joined first, step by step.
+HELD, STEPS = 1 << 19, 8
+
+
+def linked(codes: np.ndarray, bucket: np.ndarray, radius: int, passes=None, counts: dict[str, int] | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of links between codes of the same bucket, such that codes within the radius of each other, and what chains of such join, are one tree. passes(a, b): which of the pairs count.
+
+    nearest: the forest is one of least distances, whole or by STEPS steps of the radius, so that each code hangs by a link as short as any."""
     order = np.lexsort((*gray_keys(codes), bucket))
     tree, forest = GrayTree(codes[order], bucket[order], np.arange(len(codes)), radius), Forest(len(codes))
-    found, since = [(np.zeros(0, int), np.zeros(0, int))], 0
-    for a, b in tree.pairs():
-        if passes is not None:
-            keep = passes(order[a], order[b])
-            a, b = a[keep], b[keep]
-        a, b = forest.join(a, b)
-        found.append((order[a], order[b]))
-        since += len(a)
-        if 16 * since > len(codes):
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+
+    def join(a: np.ndarray, b: np.ndarray) -> int:
+        if nearest:
+            apart_ = different(tree.levels[0][0][a], tree.levels[0][0][b])
+            cuts = [a[apart_ == x] for x in np.unique(apart_)], [b[apart_ == x] for x in np.unique(apart_)]
+        else:
+            cuts = [a], [b]
+        joined = 0
+        for x, y in zip(*cuts, strict=True):
+            x, y = forest.join(x, y)
+            found.append((order[x], order[y]))
+            joined += len(x)
+        return joined
+
+    def passing() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in tree.pairs():
+            keep = slice(None) if passes is None else passes(order[a], order[b])
+            yield a[keep], b[keep]
+
+    held, n = [], 0
+    for a, b in passing() if nearest else ():
+        held.append((a, b))
+        n += len(a)
+        if n > HELD:
+            break
+    if nearest and n <= HELD:
+        join(*(np.concatenate([np.zeros(0, int), *x]) for x in (zip(*held, strict=True) if held else ((), ()))))
+    else:
+        for step in range(1, STEPS + 1) if nearest else (STEPS,):
+            tree.radius, since = radius * step // STEPS, 0
             tree.regroup(forest.root)
-            since = 0
+            for a, b in passing():
+                since += join(a, b)
+                if 16 * since > len(codes):
+                    tree.regroup(forest.root)
+                    since = 0
     if counts is not None:
         counts["seen"], counts["pruned"] = counts.get("seen", 0) + tree.seen, counts.get("pruned", 0) + tree.pruned
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
@@ -233,6 +265,17 @@ def apart(codes: np.ndarray, bucket: np.ndarray, group: np.ndarray, radius: int,
         yield a, b
 
 
+def nearest_apart(codes: np.ndarray, bucket: np.ndarray, group: np.ndarray, radius: int, passes=None) -> tuple[np.ndarray, np.ndarray]:
+    """For each code that has any, the nearest of the same bucket and another group within the radius, the first of several: at most a pair a code, whatever the groups' sizes."""
+    best = np.full(len(codes), np.iinfo(np.int64).max)
+    for a, b in apart(codes, bucket, group, radius, passes):
+        far = different(codes[a], codes[b]).astype(np.int64) << 40
+        np.minimum.at(best, a, far | b)
+        np.minimum.at(best, b, far | a)
+    found = np.flatnonzero(best < np.iinfo(np.int64).max)
+    return found, best[found] & ((1 << 40) - 1)
+
+
 @dataclass(frozen=True)
 class Deal:
     """Masks, a number for each part of a code. What is dealt anew goes under those of the next deal."""
@@ -286,8 +329,8 @@ def dealt(rows: DataFrame, names: list[str], deal: Deal, anew: bool) -> DataFram
 _LINKS = "kind string, a long, b long, bucket long"
 
 
-def _search(names: list[str], radius: int, again: bool, least: float | None, every: bool):
-    """every: all pairs of different groups; else a forest. least: the smallest share that the smaller of two sizes is of the larger."""
+def _search(names: list[str], radius: int, again: bool, least: float | None, others: bool):
+    """others: each class's nearest of another group; else a forest. least: the smallest share that the smaller of two sizes is of the larger."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind: str, a: np.ndarray, b: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -307,10 +350,10 @@ def _search(names: list[str], radius: int, again: bool, least: float | None, eve
                 return
             ids, counted, group, codes = rows[:, 2], rows[:, 3], rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
             passes = None if least is None else lambda a, b: np.minimum(counted[a], counted[b]) >= least * np.maximum(counted[a], counted[b]) - 1e-6
-            for a, b in apart(codes, number, group, radius, passes) if every else [linked(codes, number, radius, passes)]:
-                for at in range(0, len(a), CHUNK):
-                    x, y = ids[a[at : at + CHUNK]], ids[b[at : at + CHUNK]]
-                    yield out("link", x, y, np.zeros(len(x), np.int64))
+            a, b = nearest_apart(codes, number, group, radius, passes) if others else linked(codes, number, radius, passes, nearest=least is not None)
+            for at in range(0, len(a), CHUNK):
+                x, y = ids[a[at : at + CHUNK]], ids[b[at : at + CHUNK]]
+                yield out("link", x, y, np.zeros(len(x), np.int64))
 
         held, n, need, over = [], 0, CHUNK, None
         for batch in batches:
@@ -341,10 +384,10 @@ def _search(names: list[str], radius: int, again: bool, least: float | None, eve
     return run
 
 
-def class_links(classes: DataFrame, names: list[str], deals: list[Deal], radius: int, least: float | None = None, every: bool = False, start: int = 0) -> DataFrame:
+def class_links(classes: DataFrame, names: list[str], deals: list[Deal], radius: int, least: float | None = None, others: bool = False, start: int = 0) -> DataFrame:
     """classes: id, size, group, and the codes' names. Returns a, b: ids of linked classes; a table, which the caller may drop.
 
-    A forest in each bucket, or every pair of different groups. A bucket of more than BUCKET classes is dealt anew, those found in a sample before the shuffle, so that none of
+    A forest in each bucket, or each class's nearest of another group. A bucket of more than BUCKET classes is dealt anew, those found in a sample before the shuffle, so that none of
     them goes to one task; the last deal's are searched as they are. start: the deals before it are gone through at once."""
     spark = classes.sparkSession
     columns = ["id", "size", "group", *names]
@@ -367,7 +410,7 @@ def class_links(classes: DataFrame, names: list[str], deals: list[Deal], radius:
         cold = rows if hot is None else rows.join(F.broadcast(hot), ["bucket", "pattern"], "left_anti")
         ranges = max(tasks, -(-n // TASK))
         cold = cold.repartitionByRange(ranges, "bucket", "pattern") if len(names) == 1 else cold.repartition(ranges, "bucket", "pattern")
-        swept = written(cold.sortWithinPartitions("bucket", "pattern").mapInArrow(_search(names, radius, not last, least, every), _LINKS), "links")
+        swept = written(cold.sortWithinPartitions("bucket", "pattern").mapInArrow(_search(names, radius, not last, least, others), _LINKS), "links")
         made.append(swept)
         links.append(swept.filter("kind = 'link'").select("a", "b"))
         if last:
@@ -488,8 +531,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 #: than the radius with a chance of 0.0003. A bucket is of the classes that are equal in so many drawn bits, at least MASK_BITS; such a pair meets in one of the masks' buckets
 #: with a chance of MET, and so do in a bucket that is dealt anew those that met in it. What meets within the radius is a candidate and is verified.
 SIMILAR, SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MET, ALIKE_BITS = 0.8, 4, 58, 18, 0.999, 0.8485
-#: The forest that joins near copies first: its masks, and bits that may differ.
-FIRST_MASKS, FIRST_RADIUS = 16, 40
 #: What a bucket has of other texts, about, as a power of two.
 OTHERS = 6
 
@@ -506,14 +547,13 @@ def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.first("size").alias("size"), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
     bits = max(MASK_BITS, math.ceil(math.log2(classes.count() + 1)) - OTHERS)
     deals = [random_deal(SIMILAR_PARTS, bits, masks_for(bits), 11), random_deal(SIMILAR_PARTS, 8, masks_for(8), 12)]
-    first = [Deal(deals[0].masks[:FIRST_MASKS]), deals[1]]
     contents = classes.select("id", "content")
-    candidates = class_links(classes.select("id", "size", F.col("id").alias("group"), *names), names, first, FIRST_RADIUS, SIMILAR)
+    candidates = class_links(classes.select("id", "size", F.col("id").alias("group"), *names), names, deals, SIMILAR_RADIUS, SIMILAR)
     joined = verified(candidates, contents, docs, words, SIMILAR)
     drop(candidates)
     roots = components(joined)
     apart_ = written(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), *names), "apart")
-    candidates = class_links(apart_, names, deals, SIMILAR_RADIUS, SIMILAR, every=True)
+    candidates = class_links(apart_, names, deals, SIMILAR_RADIUS, SIMILAR, others=True)
     rest = verified(candidates, contents, docs, words, SIMILAR)
     found = grouped(prints, classes, joined.unionByName(rest)).select("doc_id", "content", "group")
     for table in (roots, apart_, candidates, joined, rest):

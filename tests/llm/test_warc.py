@@ -1,6 +1,7 @@
 import glob
-import gzip
 import hashlib
+import re
+import zlib
 
 import pytest
 
@@ -13,10 +14,12 @@ def pages(spark):
     return rows, spark.createDataFrame([(*r, "t", "d") for r in rows], "page_id long, url string, html string, record_type string, digest string").repartition(3)
 
 
-@pytest.mark.parametrize("version", [1, 2])
-def test_round_trip(spark, version):
+@pytest.mark.parametrize(("version", "roll", "marks"), [(1, warc.ROLL, warc.MARKS), (2, 1500, 2)])
+def test_round_trip(spark, monkeypatch, version, roll, marks):
+    """Also with a file for every 1,500 bytes, and revisits broadcast two at a time."""
+    monkeypatch.setattr(warc, "MARKS", marks)
     rows, df = pages(spark)
-    found = warc.archive(df, version).collect()
+    found = warc.archive(df, version, roll=roll).collect()
     first = {}
     for key, _, html in rows:
         if key is not None and len((html or "").encode()) >= 100:
@@ -28,7 +31,9 @@ def test_round_trip(spark, version):
         again = it is not None and key != it
         expected.append((key, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", it if again else None))
     assert sorted((tuple(r)[:5] for r in found), key=str) == sorted(expected, key=str)
-    assert all(r["date"] == "2000-01-01T00:00:00Z" for r in found)
+    assert all(r["date"] == warc.warc_date(warc.page_date(r["page_id"])) for r in found) and len({r["date"] for r in found}) > 10
+    record = {r["page_id"]: r["record_id"] for r in found}
+    assert all(r["refers_to_record"] == (record[r["refers_to"]] if r["record_type"] == "revisit" else None) for r in found)
     assert {r["uri"] for r in found} >= {"http://a/%202%0A3", "urn:none"}
     assert len({r["record_id"] for r in found if r["page_id"] and r["page_id"] != 8}) == 10
 
@@ -38,18 +43,40 @@ def test_empty(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def members(data):
+    """What each gzip member holds."""
+    found = []
+    while data:
+        one = zlib.decompressobj(31)
+        found.append(one.decompress(data))
+        assert one.eof
+        data = one.unused_data
+    return found
+
+
 def test_archives_are_well_formed(spark, tmp_path):
     _, df = pages(spark)
-    warc.write_arc(df, f"file://{tmp_path}/arc")
-    warc.convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc")
-    data = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/arc/part-*"))
-    assert data.startswith(b"filedesc://pages.arc 0.0.0.0 20000101000000 text/plain ") and len(list(warc.parse_arc(data))) == 15
-    for f in glob.glob(f"{tmp_path}/warc/part-*"):
-        data, n = gzip.open(f).read(), 0
-        for fields, block in warc.parse_warc(data):
-            n += len(block)
-            assert fields["warc-type"] in ("warcinfo", "response", "revisit")
-        assert data.endswith(b"\r\n\r\n")
+    big = spark.createDataFrame([(77, "http://big", "y" * (17 << 20))], "page_id long, url string, html string")  # its length's highest byte isn't 0
+    warc.write_arc(df.select("page_id", "url", "html").unionByName(big), f"file://{tmp_path}/arc", roll=3000)
+    warc.convert_arc(spark, f"file://{tmp_path}/arc", f"file://{tmp_path}/warc", roll=3000)
+    n, files = 0, glob.glob(f"{tmp_path}/arc/roll=*/part-*")
+    for f in files:
+        parts = [m for m in members(open(f, "rb").read()) if m]
+        assert parts[0].startswith(b"filedesc://pages-") and all(len(list(warc.parse_arc(parts[0] + m))) == 1 for m in parts[1:])
+        assert len(parts) == 2 or sum(map(len, parts[1:])) <= 3000
+        n += len(parts) - 1
+    assert n == 16 and len(files) > 3
+    n = 0
+    for f in glob.glob(f"{tmp_path}/warc/pass-0/roll=*/part-*"):
+        parts = [m for m in members(open(f, "rb").read()) if m]
+        for i, m in enumerate(parts):
+            ((fields, block),) = warc.parse_warc(m)
+            assert m.startswith(b"WARC/1.1\r\n") and m.endswith(warc.END) and fields["warc-record-id"].startswith("<urn:uuid:") and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
+            assert (fields["warc-type"] == "warcinfo") == (i == 0) and int(fields["content-length"]) == len(block)
+            if fields["warc-type"] == "revisit":
+                assert {"warc-refers-to", "warc-refers-to-target-uri", "warc-refers-to-date", "warc-profile"} <= fields.keys() and block.endswith(warc.END)
+        n += len(parts) - 1
+    assert n == 16
 
 
 def test_parser():

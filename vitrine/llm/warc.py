@@ -6,10 +6,13 @@ synthesises a WARC record: an identifier (a UUID from the record's own fields, e
 in the WARC form, the type and the digest. Of records with equal payloads of at least `least` bytes, the one with the
 smallest id is the response, the others revisit it.
 
-Archives are written by Spark's text writer, a record a row with the format's own separator, gzipped, and read as whole
-files, so that any file system Spark knows will do, and a lost task is written again.
+Archives are written by Spark's text writer, so that any file system Spark knows will do, and a lost task is written again. A record
+is a row and a gzip member of its own. Each file ends after ROLL bytes of records, so that files, which are read whole, have bounded sizes
+however much a task writes. Contents are never shuffled: only digests are, and what they say of each file comes back to it by
+broadcasts of at most MARKS revisits, in as many passes over different files as that takes.
 
-Defined cases: a null html is an empty payload; a null url is the URI ``urn:none``, and white space in one is escaped.
+Defined cases: a null html is an empty payload; a null url is the URI ``urn:none``, and white space in one is escaped. A record larger than
+ROLL is a file of its own; Spark's limit for a value, 2 GB, is the limit of a payload. A page without a date has one that follows from its id.
 A record with a null id is never the response of a group that has ids; records of a group without ids, or with the
 smallest id more than once, are all responses. Tables may be empty and may have further columns; only id, url and html
 are read.
@@ -20,7 +23,9 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import time
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -38,6 +43,11 @@ FIELDS = {
 ID_HEADER = "X-Page-Id"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+WARC_VERSION = "WARC/1.1"
+#: Bytes of records after which a file ends; bytes of rows that are sent on at once.
+ROLL, FLUSH = 1 << 26, 1 << 23
+#: Revisits that are broadcast at once, with the identifiers of what they refer to.
+MARKS = 500_000
 
 
 @dataclass(frozen=True)
@@ -60,9 +70,42 @@ class ArcRecord:
         return found[1].decode() if found else None
 
 
-def raw_text(rows: list[bytes]) -> pa.Array:
-    """Bytes as a text column, whatever their encoding."""
-    return pa.array(rows, pa.binary()).view(pa.string())
+def member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is the separator that the text writer adds: the highest byte of the length, 0 under 16 MiB. After a longer record comes an empty member, whose length is 0."""
+    found = gzip.compress(record, 6, mtime=0)
+    return (found if not found[-1] else found + gzip.compress(b"", mtime=0))[:-1]
+
+
+class Rolled:
+    """Rows of gzip members with the number of the file, of those of this task, that each belongs to."""
+
+    def __init__(self, start, most: int) -> None:
+        self.start, self.most, self.roll, self.size, self.rows, self.waiting = start, most, -1, most, [], 0
+
+    def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
+        if self.size and self.size + len(record) > self.most:
+            self.roll, self.size = self.roll + 1, 0
+            self.rows.append((member(self.start(self.roll)), self.roll))
+        row = member(record)
+        self.rows.append((row, self.roll))
+        self.size, self.waiting = self.size + len(record), self.waiting + len(row)
+        if self.waiting >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            values, rolls = zip(*self.rows, strict=True)
+            # bytes as a text column, whatever their encoding
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()).view(pa.string()), pa.array(rolls, pa.int32())], names=["value", "roll"])
+        self.rows, self.waiting = [], 0
+
+
+def write_rolled(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").partitionBy("roll").text(path, lineSep="\0")
+
+
+def archive_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(paths).select("path", "content")
 
 
 def arc_header(version: int, url: str, ip: str, date: str, kind: str, length: int, status: str = "200") -> bytes:
@@ -81,23 +124,26 @@ def escaped(url: str | None) -> str:
     return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url) or "urn:none" if url else "urn:none"
 
 
-def write_arc(pages: DataFrame, path: str, version: int = 1, date: str = "20000101000000") -> None:
-    """pages: page_id, url, html. One file a partition; each record is an HTTP response that carries the id."""
+def page_date(key) -> str:
+    """Fourteen digits: some second of the ten years from 2000 on, by the id."""
+    return time.strftime("%Y%m%d%H%M%S", time.gmtime(946_684_800 + zlib.crc32(str(key).encode()) % 315_360_000))
+
+
+def write_arc(pages: DataFrame, path: str, version: int = 1, date: str | None = None, roll: int = ROLL) -> None:
+    """pages: page_id, url, html. Each record is an HTTP response that carries the id. date: of all records; else each has its own."""
     ship(pages.sparkSession)
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started = False
+        out = Rolled(lambda n: arc_start(version, f"pages-{n}.arc", date or "20000101000000") + b"\n", roll)
         for batch in parts:
-            rows = [] if started else [arc_start(version, "pages.arc", date)]
-            started = True
-            for key, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                body = html or b""
+            for key, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"], strict=True):
+                body = html.as_py() or b""
                 own = "" if key is None else f"{ID_HEADER}: {key}\r\n"
                 block = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n{own}\r\n".encode() + body
-                rows.append(arc_header(version, escaped(url), "0.0.0.0", date, "text/html", len(block)) + block)
-            yield pa.RecordBatch.from_arrays([raw_text(rows)], names=["value"])
+                yield from out.add(arc_header(version, escaped(url), "0.0.0.0", date or page_date(key), "text/html", len(block)) + block + b"\n")
+        yield from out.flush()
 
-    pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(run, "value string").write.text(path, compression="gzip", lineSep="\n")
+    write_rolled(pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(run, "value string, roll int"), path)
 
 
 def unzipped(data: bytes) -> bytes:
@@ -139,50 +185,71 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_record(record: ArcRecord, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record, without the separator after it."""
+def warc_info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    body = b"software: vitrine\r\nformat: WARC File Format 1.1\r\n"
+    lines = [WARC_VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id('warcinfo', name, None)}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return "\r\n".join(lines).encode() + END + body + END
+
+
+def warc_record(record: ArcRecord, first: dict | None) -> bytes:
+    """The WARC record of an ARC record. first: of the response that it revisits, page_id, record_id, uri and date."""
     head, body = record.http
-    block = head if refers_to is not None else record.block
-    lines = ["WARC/1.0", f"WARC-Type: {'revisit' if refers_to is not None else 'response' if head else 'resource'}", f"WARC-Record-ID: {record_id(record.url, record.date, record.page_id)}", f"WARC-Date: {warc_date(record.date)}", f"WARC-Target-URI: {record.url}", f"WARC-IP-Address: {record.ip}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}", f"X-Payload-Length: {len(body)}"]
-    if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
+    block = record.block if first is None else head
+    lines = [WARC_VERSION, f"WARC-Type: {'revisit' if first else 'response' if head else 'resource'}", f"WARC-Record-ID: {record_id(record.url, record.date, record.page_id)}", f"WARC-Date: {warc_date(record.date)}", f"WARC-Target-URI: {record.url}", f"WARC-IP-Address: {record.ip}", f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}", f"X-Payload-Length: {len(body)}"]
+    if first:
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {first['record_id']}", f"WARC-Refers-To-Target-URI: {first['uri']}", f"WARC-Refers-To-Date: {first['date']}", f"X-Refers-To-Page: {first['page_id']}"]
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else record.kind}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode("utf-8", "surrogateescape") + END + block
+    return "\r\n".join(lines).encode("utf-8", "surrogateescape") + END + block + END
 
 
-def convert_arc(spark: SparkSession, arc: str, warc: str, least: int = 100) -> None:
+def convert_arc(spark: SparkSession, arc: str, warc: str, least: int = 100, roll: int = ROLL) -> None:
     """Converts the ARC files of a folder to WARC files in another."""
     ship(spark)
 
     def index(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                rows = [(i, int(r.page_id) if r.page_id else None, len(body), hashlib.sha256(body).digest()) for i, r in enumerate(parse_arc(unzipped(content.as_py()))) for body in (r.http[1],)]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["path", "place", "page_id", "length", "digest"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc).select("path", "content")
-    records = written(files.mapInArrow(index, "path string, place long, page_id long, length long, digest binary").filter(F.col("length") >= least), "arc-index")
-    groups = records.groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).filter("n > 1")
-    again = looked_up(records, "digest", groups).filter("first IS NOT NULL AND NOT (page_id <=> first)")
-    again = again.groupBy("path").agg(F.collect_list(F.struct("place", "first")).alias("again"))  # at most the records of a file
+                rows = []
+                for i, r in enumerate(parse_arc(unzipped(content.as_py()))):
+                    body = r.http[1]
+                    if len(body) >= least:
+                        rows.append((i, int(r.page_id) if r.page_id else None, hashlib.sha256(body).digest(), record_id(r.url, r.date, r.page_id), r.url.encode("utf-8", "replace").decode(), warc_date(r.date)))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["path", "place", "page_id", "digest", "record_id", "uri", "date"])
+
+    files = archive_files(spark, arc)
+    records = written(files.mapInArrow(index, "path string, place long, page_id long, digest binary, record_id string, uri string, date string"), "arc-index")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id", "uri", "date"))
+    groups = records.groupBy("digest").agg(F.count("*").alias("n"), F.min(named).alias("first")).filter("n > 1")
+    again = looked_up(records.select("path", "place", "page_id", "digest"), "digest", groups).filter("first IS NOT NULL AND NOT (page_id <=> first.page_id)").select("path", "place", "first")
+    again = written(again, "arc-revisits")
 
     def convert(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        started = False
+        out = None
         for batch in parts:
-            for content, marks in zip(batch["content"], batch["again"].to_pylist(), strict=True):
+            for path, content, marks in zip(batch["path"].to_pylist(), batch["content"], batch["again"].to_pylist(), strict=True):
+                out = out or Rolled(lambda n, name=path.rsplit("/", 1)[-1]: warc_info(f"{name}-{n}.warc"), roll)
                 first = {m["place"]: m["first"] for m in marks or ()}
-                rows = [] if started else [b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n"]
-                started = True
                 for i, record in enumerate(parse_arc(unzipped(content.as_py()))):
-                    rows.append(warc_record(record, first.get(i)))
-                    if len(rows) >= 256:
-                        yield pa.RecordBatch.from_arrays([raw_text(rows)], names=["value"])
-                        rows = []
-                yield pa.RecordBatch.from_arrays([raw_text(rows)], names=["value"])
-
-    files.join(again, "path", "left").mapInArrow(convert, "value string").write.text(warc, compression="gzip", lineSep=END.decode())
+                    yield from out.add(warc_record(record, first.get(i)))
+        if out:
+            yield from out.flush()
+
+    passes = max(1, -(-again.count() // MARKS))
+    for number in range(passes):
+        part, marks = files, again
+        if passes > 1:
+            turn = F.pmod(F.xxhash64("path"), F.lit(passes)) == number
+            names = [r["path"] for r in files.select("path").filter(turn).collect()]  # a name for every ROLL bytes: what Spark lists on the driver anyway
+            if not names:
+                continue
+            part, marks = archive_files(spark, names), again.filter(turn)
+        side = marks.groupBy("path").agg(F.collect_list(F.struct("place", "first")).alias("again"))  # at most the records of a file
+        write_rolled(part.join(F.broadcast(side), "path", "left").mapInArrow(convert, "value string, roll int"), f"{warc}/pass-{number}")
     drop(records)
+    drop(again)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -197,11 +264,11 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """A row per response, revisit or resource: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, uri, date. A response whose payload isn't what its digest says is an error."""
+    """A row per response, revisit or resource: page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_record, uri, date. A response whose payload isn't what its digest says is an error."""
     ship(spark)
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
         for batch in parts:
             for content in batch["content"]:
                 rows = []
@@ -214,19 +281,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if kind != "revisit" and (hashlib.sha256(record.http[1]).hexdigest(), len(record.http[1])) != (digest, length):
                         raise ValueError(f"payload and digest differ: {fields}")
                     first = fields.get("x-refers-to-page")
-                    rows.append((record.page_id and int(record.page_id), length, digest, kind, first and int(first), fields["warc-record-id"], fields["warc-target-uri"].encode("utf-8", "replace").decode(), fields["warc-date"]))
+                    rows.append((record.page_id and int(record.page_id), length, digest, kind, first and int(first), fields["warc-record-id"], fields.get("warc-refers-to"), fields["warc-target-uri"].encode("utf-8", "replace").decode(), fields["warc-date"]))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri", "date"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_record", "uri", "date"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, uri string, date string")
+    return archive_files(spark, path).select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, uri string, date string")
 
 
-def archive(pages: DataFrame, version: int = 1, least: int = 100) -> DataFrame:
+def archive(pages: DataFrame, version: int = 1, least: int = 100, date: str | None = None, roll: int = ROLL) -> DataFrame:
     """Writes pages as ARC, converts that to WARC, and reads the WARC files back."""
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
-    write_arc(pages, arc, version)
-    convert_arc(spark, arc, warc, least)
+    write_arc(pages, arc, version, date, roll)
+    convert_arc(spark, arc, warc, least, roll)
     delete_path(spark, arc)
     return read_warc(spark, warc)

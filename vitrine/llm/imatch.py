@@ -11,15 +11,16 @@ Document frequencies are counted over all documents. A word in the lexicon is in
 so that the lexicon has at most 1 / low times the mean number of distinct words of a text, however many documents
 there are; it goes to every worker.
 
-Defined cases: a null text is empty. A text with fewer than SCARCE terms in the lexicon has all its distinct words as
-terms; one without words has a fingerprint of nothing kept, which is like itself alone. Null ids come first in the order, and of rows
+Defined cases: a null text is empty. A text without a term in the lexicon has a fingerprint of nothing kept, which says nothing: its likeness
+to that of another text is 0. Equal texts have likeness 1. Ids may be of any type that can be ordered; null ids come first in the order, and of rows
 with equal ids the order is that of a hash of their texts. The document after the last is the first, of a single one itself. Tables may be
-empty and may have further columns; only the id and the text are read.
+empty and may have further columns; only the id and the text are read. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -30,16 +31,16 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vitrine.llm.common import extended, ship, texts_of
 
 LOW, HIGH = 0.001, 0.1
 LEVELS, SUBSETS = 9, 16
-SCARCE = 4
 #: Words a task counts before it sends what it has.
 FLUSH = 400_000
-#: Rows of a range of the order, about, and how many of them a boundary is chosen from.
-RANGE, SAMPLED = 20_000, 100
+#: Rows of a range of the order, about; how many of them a boundary is chosen from; at most so many ranges and rows to choose from, whatever the table's size.
+RANGE, SAMPLED, RANGES, CHOSEN = 20_000, 100, 1 << 16, 1 << 20
 
 #: Bytes that are no part of a word become a space, A-Z lower case.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -91,26 +92,26 @@ def kept_hashes(keys: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Words with the hashes that each brings to the parts."""
+    """Words of the lexicon, 8 bytes each besides the words themselves."""
 
     def __init__(self, words: Iterable[bytes]) -> None:
-        self.place = {w: i for i, w in enumerate(sorted(words))}
-        keys = np.array([word_key(w) for w in self.place], np.uint64)
-        self.hashes = kept_hashes(keys)
+        self.keys = {w: word_key(w) for w in words}
 
     def fingerprint(self, text: str) -> np.ndarray:
         """LEVELS x SUBSETS parts; 0 where nothing is kept, else the sum of the sorted distinct terms' hashes, folded to 1..65535."""
-        own = distinct_words(text)
-        terms = sorted(own & self.place.keys()) if len(own) < len(self.place) else sorted(self.place.keys() & own)
-        if len(terms) < SCARCE:
-            hashes = kept_hashes(np.array([word_key(w) for w in sorted(own)], np.uint64))
-        else:
-            hashes = self.hashes[[self.place[w] for w in terms]]
-        total = np.zeros(LEVELS * SUBSETS, np.uint64)
-        for i in range(0, len(hashes), 4096):
-            total += hashes[i : i + 4096].sum(axis=0, dtype=np.uint64)
-        total = spread(total, 7)
-        return np.where((hashes != 0).any(axis=0), total % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+        keys = np.array([self.keys[w] for w in sorted(distinct_words(text) & self.keys.keys())], np.uint64)
+        total, some = np.zeros(LEVELS * SUBSETS, np.uint64), np.zeros(LEVELS * SUBSETS, bool)
+        for i in range(0, len(keys), 1024):
+            hashes = kept_hashes(keys[i : i + 1024])
+            total += hashes.sum(axis=0, dtype=np.uint64)
+            some |= (hashes != 0).any(axis=0)
+        return np.where(some, spread(total, 7) % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+
+
+@functools.lru_cache(maxsize=1)
+def _lexicon(key: int, words: frozenset[bytes]) -> Lexicon:
+    """Once for a Python worker, not for a task."""
+    return Lexicon(words)
 
 
 def shown(parts: np.ndarray) -> str:
@@ -119,14 +120,12 @@ def shown(parts: np.ndarray) -> str:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    equal = a == b
-    if equal.all():
-        return 1.0
-    a, b, equal = (x.reshape(LEVELS, SUBSETS) for x in (a, b, equal))
+    a, b = a.reshape(LEVELS, SUBSETS), b.reshape(LEVELS, SUBSETS)
+    equal = ((a == b) & (a != 0)).sum(axis=1)
     both = ((a != 0) & (b != 0)).sum(axis=1)
     some = ((a != 0) | (b != 0)).sum(axis=1)
     level = 2 * both >= SUBSETS
-    return float(((equal & (a != 0)).sum(axis=1)[level] / some[level]).max(initial=0.0))
+    return float((equal[level] / some[level]).max(initial=0.0))
 
 
 def edited(text: str, following: str) -> str:
@@ -135,50 +134,55 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    """docs in ranges of the order, and the first of each once more at the end of the range before it."""
-    least = -(1 << 63)
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("key"), F.xxhash64("text").alias("tie"))
+def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs in ranges of the order, and the first of each once more at the end of the range before it; and how many ranges there are."""
+    kind = docs.schema["doc_id"].dataType
+    kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
+    given = F.col("doc_id").isNotNull().cast("int")
+    rows = docs.select("doc_id", "text", given.alias("given"), F.coalesce(F.col("doc_id").cast(kind), F.lit(0 if kind == "long" else "").cast(kind)).alias("key"), F.xxhash64("text").alias("tie"))
     total = docs.count()
-    ranges = max(1, -(-total // RANGE), min(total // SAMPLED, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    share = min(1.0, ranges * SAMPLED / max(1, total))
-    chosen = sorted(tuple(r) for r in rows.filter(F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("key", "tie").distinct().collect())
+    ranges = min(RANGES, max(1, -(-total // RANGE), min(total // SAMPLED, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    share = min(1.0, min(CHOSEN, ranges * SAMPLED) / max(1, total))
+    chosen = sorted(tuple(r) for r in rows.filter(F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("given", "key", "tie").distinct().collect())  # about CHOSEN at most
     bounds = sorted({chosen[len(chosen) * i // ranges] for i in range(1, ranges)}) if chosen else []
 
     @F.pandas_udf("int")
-    def place(key: pd.Series, tie: pd.Series) -> pd.Series:
-        return pd.Series([bisect.bisect_right(bounds, x) for x in zip(key.tolist(), tie.tolist(), strict=True)], dtype="int32")
+    def place(given: pd.Series, key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, x) for x in zip(given.tolist(), key.tolist(), tie.tolist(), strict=True)], dtype="int32")
 
-    firsts = {r["range"]: (r["first"]["key"], r["first"]["tie"]) for r in rows.select(place("key", "tie").alias("range"), "key", "tie").groupBy("range").agg(F.min(F.struct("key", "tie")).alias("first")).collect()}
+    firsts = {r["range"]: tuple(r["first"]) for r in rows.select(place("given", "key", "tie").alias("range"), "given", "key", "tie").groupBy("range").agg(F.min(F.struct("given", "key", "tie")).alias("first")).collect()}  # RANGES at most
     used = sorted(firsts)
     before = {firsts[r]: used[i - 1] for i, r in enumerate(used)}
+    held = docs.sparkSession.sparkContext.broadcast((bounds, before))
 
     def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts are compressed one by one, which halves what is shuffled."""
         pack = zstandard.ZstdCompressor(level=1)
+        bounds, before = held.value
         for batch in parts:
-            keys = list(zip(batch["key"].to_pylist(), batch["tie"].to_pylist(), strict=True))
+            keys = list(zip(*(batch[c].to_pylist() for c in ("given", "key", "tie")), strict=True))
             packed = pa.array([pack.compress(t.encode(errors="surrogatepass")) for t in texts_of(batch["text"])], pa.binary())
             ranges = [bisect.bisect_right(bounds, x) for x in keys]
             again = [i for i, x in enumerate(keys) if x in before]
             at = pa.array([*range(len(keys)), *again], pa.int64())
             place = pa.array([*ranges, *(before[keys[i]] for i in again)], pa.int32())
             copy = pa.array([0] * len(keys) + [1] * len(again), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), packed.take(at), batch["key"].take(at), batch["tie"].take(at), place, copy], names=["doc_id", "packed", "key", "tie", "range", "copy"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), packed.take(at), *(batch[c].take(at) for c in ("given", "key", "tie")), place, copy], names=["doc_id", "packed", "given", "key", "tie", "range", "copy"])
 
-    return rows.mapInArrow(deal, extended(docs.select("doc_id").schema, "packed binary, key long, tie long, range int, copy int"))
+    return rows.mapInArrow(deal, extended(docs.select("doc_id").schema, f"packed binary, given int, key {kind}, tie long, range int, copy int")), len(bounds) + 1
 
 
 def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(lexicon(docs, low, high))  # at most 1 / low times the mean vocabulary of a text
+    held = spark.sparkContext.broadcast(frozenset(lexicon(docs, low, high)))  # at most 1 / low times the mean vocabulary of a text
+    number = id(held)  # tells this lexicon from those of other runs
     schema = extended(docs.select("doc_id").schema, "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, unpack = Lexicon(held.value), zstandard.ZstdDecompressor()
+        words, unpack = _lexicon(number, held.value), zstandard.ZstdDecompressor()
         last = None  # range, text, fingerprint, id of the row that waits for the next
         for batch in parts:
             ids, rows = [], []
@@ -190,11 +194,12 @@ def fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataF
                     new = edited(before, text)
                     other = its if new == before else words.fingerprint(new)
                     ids.append(key)
-                    rows.append((len(before), hashlib.sha256(new.encode(errors="surrogatepass")).hexdigest(), shown(its), shown(other), likeness(its, other), likeness(its, own)))
+                    rows.append((len(before), hashlib.sha256(new.encode(errors="surrogatepass")).hexdigest(), shown(its), shown(other), 1.0 if new == before else likeness(its, other), 1.0 if text == before else likeness(its, own)))
                 last = None if copy else (at, text, own, batch["doc_id"].slice(i, 1))
             columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
             keys = pa.concat_arrays(ids) if ids else batch["doc_id"].slice(0, 0)
             yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.fieldNames())
 
-    ordered = _ordered(docs)
-    return ordered.repartition("range").sortWithinPartitions("range", "copy", "key", "tie").mapInArrow(run, schema)
+    ordered, ranges = _ordered(docs)
+    dealt = ordered.repartitionById(ranges, F.col("range"))  # a range is a task, by its number
+    return dealt.sortWithinPartitions("range", "copy", "given", "key", "tie").mapInArrow(run, schema)

@@ -1,6 +1,10 @@
+import math
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from vitrine.llm import urls
 from vitrine.llm.queries import URL_RULES
 
@@ -53,6 +57,30 @@ def test_frequent_hosts_and_empty_tables(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_the_method_blocks_and_allows(spark):
+    """Pages that no rule fits: blocked on a host whose ruled pages are nearly all blocked, allowed elsewhere; an id may be null, a url very long."""
+    rows = [(i, f"http://bad{i % 5}.com/de/{i}") for i in range(300)] + [(1000 + i, f"http://good{i % 5}.com/fr/{i}") for i in range(300)]
+    rows += [(2000, "http://bad1.com/it/1"), (None, "http://bad2.com/"), (2002, "http://good1.com/it/1"), (2003, "http://other.net/"), (2004, "http://bad3.com/" + "x" * 3_000_000)]
+    found = {r["page_id"]: r for r in urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES, urls.SUFFIXES).collect()}
+    assert [found[k]["verdict"] for k in (2000, None, 2002, 2003, 2004)] == ["block", "block", "allow", "allow", "block"]
+    assert all(found[k]["rule"] is None for k in (2000, None, 2002, 2003, 2004)) and len(found[2004]["path"]) == 3_000_001
+
+
+def test_the_bound_is_conservative():
+    """By draws from the posterior: the share is over the bound at least as often as stated, for few outcomes too."""
+    rng = np.random.default_rng(4)
+    for a, b in ((0.6, 5.0), (2.0, 1.0), (5.0, 0.4), (40.0, 3.0)):
+        mean = a / (a + b)
+        bound = mean - math.sqrt(urls.SURE / (1 - urls.SURE)) * math.sqrt(mean * (1 - mean) / (a + b + 1))
+        assert (rng.beta(a, b, 100_000) > bound).mean() >= urls.SURE
+
+
+def test_registered_domains(spark):
+    tests = {"a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "x.y.example.com": "example.com", "u@h.net:80": "h.net", "1.2.3.4": "1.2.3.4", "": "", "me.github.io": "me.github.io"}
+    rows = spark.createDataFrame([(h,) for h in tests], "host string")
+    assert {r[0]: r[1] for r in rows.select("host", urls.registered_domain(F.col("host"), urls.SUFFIXES)).collect()} == tests
+
+
 def test_prior_strength():
     assert urls.prior_strength(0, 0, 0, 0, 0) == 10.0 and urls.prior_strength(3, 30, 30, 300, 30) == 10.0
     tight = urls.prior_strength(4, 400, 200, 40_000, 100.0)  # all groups alike

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vitrine.llm.decontaminate import LEAST, MASKS, MISMATCH, SHARE, SPAN
 from vitrine.llm.license import PHRASES, SENTENCE_END, TEMPLATES, THRESHOLD, notices, words_of
+from vitrine.llm.urls import SUFFIXES, SURE
 
 #: The strength of a level's prior: prior_strength() of urls.py in SQL.
 _STRENGTH = """
@@ -32,8 +33,8 @@ judged AS (
   SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM ruled),
 hosts AS (
   SELECT *, regexp_replace(domain, '^[^.]*\\.', '') AS suffix FROM (
-    SELECT host, regexp_extract(regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', ''), '[^.]*(\\.[^.]*)?$') AS domain,
-           count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad FROM judged GROUP BY host)),
+    SELECT host, CASE WHEN regexp_full_match(name, '[0-9.]+') THEN name WHEN list_contains({SUFFIXES}, regexp_extract(name, '[^.]*(\\.[^.]*)?$')) THEN regexp_extract(name, '[^.]*(\\.[^.]*(\\.[^.]*)?)?$') ELSE regexp_extract(name, '[^.]*(\\.[^.]*)?$') END AS domain,
+           n, bad FROM (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', '') AS name, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad FROM judged GROUP BY host))),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 tops AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 mh AS ({_STRENGTH.format(level="hosts")}), md AS ({_STRENGTH.format(level="domains")}), ms AS ({_STRENGTH.format(level="tops")}),
@@ -44,7 +45,7 @@ domain_mean AS (SELECT domain, n + w AS known, (bad + w * above) / (n + w) AS me
                 FROM (SELECT d.*, least((SELECT m FROM md), t.known) AS w, t.mean AS above FROM domains d JOIN top_mean t USING (suffix))),
 host_mean AS (SELECT host, n + w AS known, (bad + w * above) / (n + w) AS mean
               FROM (SELECT h.*, least((SELECT m FROM mh), d.known) AS w, d.mean AS above FROM hosts h JOIN domain_mean d USING (domain))),
-reputation AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (known + 1)) > 0.5 AS blocked FROM host_mean)
+reputation AS (SELECT host, mean - {SURE / (1 - SURE)} ** 0.5 * sqrt(mean * (1 - mean) / (known + 1)) > 0.5 AS blocked FROM host_mean)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged JOIN reputation USING (host)
 """

@@ -41,7 +41,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+    return urls.url_filter(table(spark, sf_dir, "pages"), URL_RULES, urls.SUFFIXES)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from vitrine.functions.render import render
 from vitrine.operators import explore, viewport
 from vitrine.operators.pagecache import DataPage, PageCache, PageCacheLimits, PageKey
 from vitrine.operators.viewport import ParquetSource, quoted
+from vitrine.plans.predicate import FilterExpr
 from vitrine.plans.projection import Projection
 from vitrine.plans.window import FetchRequest, RowWindow
 from vitrine.sources.footer import DatasetMetadata
@@ -342,3 +343,39 @@ def test_overflow():
 
 def test_catalog_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_folder_with_another_column_order(spark, tmp_path):
+    pq.write_table(pa.table({"a": [1, 2], "b": [7, 8]}), tmp_path / "1.parquet")
+    pq.write_table(pa.table({"b": [3, 4], "a": [7, 9]}), tmp_path / "2.parquet")
+    source = ParquetSource.open(spark, str(tmp_path))
+    assert source.read_window(0, 4, [0, 1]).to_pylist() == [{"a": 1, "b": 7}, {"a": 2, "b": 8}, {"a": 7, "b": 3}, {"a": 9, "b": 4}]
+    assert source.read_window(1, 2, [1]).to_pylist() == [{"b": 8}, {"b": 3}]
+    assert source.read_filtered_window("a == 7", 0, 9, [1, 0]).to_pylist() == [{"b": 3, "a": 7}]
+    assert source.groups_that_might_match(FilterExpr.parse("a == 7")) == [1]
+    pq.write_table(pa.table({"a": ["x"], "b": [1]}), tmp_path / "3.parquet")
+    with pytest.raises(ViewError, match="other columns"):
+        ParquetSource.open(spark, str(tmp_path))
+
+
+def test_files_without_a_group_left_are_not_read(spark, tmp_path):
+    for i in range(4):
+        pq.write_table(pa.table({"k": list(range(10 * i, 10 * i + 10))}), tmp_path / f"{i}.parquet", row_group_size=5)
+    source = ParquetSource.open(spark, f"file://{tmp_path}")
+    found = source.filtered_frame("k >= 23", 1, 5, [0])
+    assert {f.rsplit("/", 1)[-1] for f in found.inputFiles()} == {"2.parquet", "3.parquet"}
+    assert found.toArrow()["k"].to_pylist() == [24, 25, 26, 27, 28]
+    assert source.read_filtered_window("k >= 99", 0, 5, [0]).num_rows == 0
+
+
+def test_many_footers_are_read_by_a_job(spark, tmp_path, monkeypatch):
+    from vitrine.sources import footer
+
+    for i in range(9):
+        pq.write_table(pa.table({"k": [i, i + 1]}), tmp_path / f"{i}.parquet")
+    one = ParquetSource.open(spark, str(tmp_path))
+    monkeypatch.setattr(footer, "MOST_FOOTERS", 2)
+    many = ParquetSource.open(spark, str(tmp_path))
+    assert many.parts == one.parts and many.metadata == one.metadata
+    assert many.groups_that_might_match(FilterExpr.parse("k == 4")) == [3, 4]
+    assert many.read_window(6, 3, [0])["k"].to_pylist() == [3, 4, 4]

@@ -5,14 +5,17 @@ the tables give it."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.cells import format_column
 from vitrine.operators import explore
+from vitrine.operators.pagecache import DataPage, PageCache, PageCacheLimits, PageKey
 from vitrine.operators.viewport import ParquetSource, quoted
 from vitrine.plans.predicate import FilterExpr
 from vitrine.plans.projection import Projection, parse_columns
@@ -110,6 +113,85 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(source.row_count, source.column_count)], "row_count long, column_count long")
 
 
+# datasets of many row groups
+_GROUP = 500
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> ParquetSource:
+    """orders in row groups of _GROUP rows by key, with a price that is a text too and a flag that changes once, in two files: the first has eight groups."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints"
+    path = f"{shared}/vitrine/groups-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("code"), (F.col("o_orderkey") >= 2000).alias("late"))
+    ordered = rows.withColumn("place", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
+    for name, part in (("a", F.col("place") < 8 * _GROUP), ("b", F.col("place") >= 8 * _GROUP)):
+        ordered.filter(part).drop("place").coalesce(1).sortWithinPartitions("o_orderkey").write.option("parquet.block.row.count.limit", str(_GROUP)).parquet(f"{path}/{name}")
+    return ParquetSource.open(spark, path)
+
+
+_GROUP_SQL = f"SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // {_GROUP} AS g, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, *, lpad(o_orderkey::VARCHAR, 9, '0') AS code, o_orderkey >= 2000 AS late FROM orders"
+
+
+@_query("row_groups_of_many", f"SELECT g::INTEGER AS index, min(place) AS first_row, count(*) AS row_count FROM ({_GROUP_SQL}) GROUP BY g")
+def row_groups_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).row_group_frame()
+
+
+_ROWS = [0, 1, 499, 500, 501, 999, 1000, 3999, 4000, 4001]
+
+
+@_query("row_group_of_row", f"SELECT place AS row, g::INTEGER AS index FROM ({_GROUP_SQL}) WHERE place IN ({', '.join(map(str, _ROWS))})")
+def row_group_of_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _grouped(spark, sf_dir)
+    found = [(row, g.index) for row in [*_ROWS, source.row_count, -1] if (g := source.metadata.row_group_for_row(row))]
+    return spark.createDataFrame(found, "row long, index int")
+
+
+_WINDOWS = [(0, 1), (0, 500), (499, 2), (500, 500), (1200, 1900), (3999, 2), (7, 0)]
+
+
+@_query("overlapping_groups", f"SELECT DISTINCT w.first AS first_row, w.n AS row_count, g::INTEGER AS index FROM ({_GROUP_SQL}), (VALUES {', '.join(map(str, _WINDOWS))}) AS w(first, n) WHERE place >= w.first AND place < w.first + w.n")
+def overlapping_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metadata = _grouped(spark, sf_dir).metadata
+    return spark.createDataFrame([(first, n, g) for first, n in _WINDOWS for g in (metadata.overlapping(first, n) if n else [])], "first_row long, row_count long, index int")
+
+
+@_query("window_over_groups", f"SELECT o_totalprice, o_orderkey FROM ({_GROUP_SQL}) WHERE place >= 1450 AND place < 4100")
+def window_over_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).window_frame(1450, 2650, [1, 0])
+
+
+#: predicate, and the groups that it leaves by their least and largest values
+_PRUNED = [
+    ("o_orderkey <= 1200", "min(o_orderkey) <= 1200"), ("o_orderkey == 3000", "min(o_orderkey) <= 3000 AND max(o_orderkey) >= 3000"), ("o_orderkey > 1e9", "max(o_orderkey) > 1e9"), ("o_orderkey != 7", "NOT (min(o_orderkey) = 7 AND max(o_orderkey) = 7)"),
+    ("o_totalprice >= 499000", "max(o_totalprice) >= 499000"), ("o_totalprice < 1100.5", "min(o_totalprice) < 1100.5"),
+    ("code < '000001100'", "min(code) < '000001100'"), ("code == '000002500'", "min(code) <= '000002500' AND max(code) >= '000002500'"), ("code contains 77", "true"),
+    ("late == true", "max(late)"), ("late == false", "NOT min(late)"), ("late != true", "NOT min(late)"),
+]
+
+
+@_query("groups_left_by_statistics", " UNION ALL ".join(f"SELECT '{p.replace(chr(39), chr(39) * 2)}' AS predicate, g::INTEGER AS index FROM ({_GROUP_SQL}) GROUP BY g HAVING {sql}" for p, sql in _PRUNED))
+def groups_left_by_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _grouped(spark, sf_dir)
+    return spark.createDataFrame([(p, g) for p, _ in _PRUNED for g in source.groups_that_might_match(FilterExpr.parse(p))], "predicate string, index int")
+
+
+@_query("filtered_over_groups", f"SELECT o_orderkey, late FROM ({_GROUP_SQL}) WHERE code >= '000001100' ORDER BY o_orderkey LIMIT 1500 OFFSET 900")
+def filtered_over_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).filtered_frame("code >= '000001100'", 900, 1500, [0, 3])
+
+
+# the page cache, the console
+@_query("cache_by_count", "SELECT page::BIGINT AS page, page >= 2 AS held FROM (VALUES (0), (1), (2), (3)) AS t(page)")
+def cache_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four pages, a cache of two holds the last ones."""
+    table = _open(spark, sf_dir, "events").read_window(0, 10, [0])
+    cache = PageCache(PageCacheLimits(2, 1 << 30))
+    keys = [PageKey(p, Projection.columns([0], 5)) for p in range(4)]
+    for key in keys:
+        cache.insert(DataPage.of(key, RowWindow(0, 10), table))
+    return spark.createDataFrame([(k.page, cache.get(k) is not None) for k in keys], "page long, held boolean")
+
+
 # predicates: every operator on every kind of column there is
 for _op, _sql in (("==", "="), ("!=", "<>"), (">", ">"), (">=", ">="), ("<", "<"), ("<=", "<=")):
     _word = {"==": "eq", "!=": "ne", ">": "gt", ">=": "ge", "<": "lt", "<=": "le"}[_op]

@@ -5,6 +5,8 @@ filtered windows are a scan with the predicate pushed down, ordered by position.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import itertools
 from collections.abc import Sequence
 from threading import Lock
@@ -19,7 +21,7 @@ from vitrine.operators.pagecache import DataPage, PageCache, PageCacheLimits, Pa
 from vitrine.plans.predicate import FilterExpr, might_match
 from vitrine.plans.projection import Projection
 from vitrine.plans.window import FetchRequest, RowWindow
-from vitrine.sources.footer import DatasetMetadata, FilePart, RowGroup, read_footers
+from vitrine.sources.footer import DatasetMetadata, FilePart, RowGroup, each_file, group_ranges, read_footers
 from vitrine.sources.rowgroups import POSITION, read_groups
 from vitrine.sources.types import loadable, spark_schema
 
@@ -37,7 +39,7 @@ def quoted(name: str) -> Column:
 class ParquetSource:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self.metadata, self.parts, self.footers = read_footers(path)
+        self.metadata, self.parts = read_footers(spark, path)
         self._cache, self._lock = PageCache(), Lock()
 
     @classmethod
@@ -126,8 +128,8 @@ class ParquetSource:
         file = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
         return rows.select("*", place.alias("__place"), file.alias("__path")).join(F.broadcast(firsts), F.col("__path") == F.col("__file")).withColumn(POSITION, F.col("__first") + F.col("__place")).drop("__place", "__path", "__file", "__first")
 
-    def matches(self, expr: FilterExpr, columns: Sequence[int] | Projection | None = None) -> DataFrame:
-        """All rows that match, projected, with POSITION. The condition is on the column named, wherever it is in the projection."""
+    def matches(self, expr: FilterExpr, columns: Sequence[int] | Projection | None = None, parts: list[FilePart] | None = None) -> DataFrame:
+        """All rows that match, projected, with POSITION, of all files or of some. The condition is on the column named, wherever it is in the projection."""
         names = self.schema.names
         projection = self.projection(columns)
         field = self.schema.field(expr.column_index(names))
@@ -135,28 +137,26 @@ class ParquetSource:
         for i in (*projection.indexes, names.index(field.name)):
             if not loadable(self.schema.field(i).type):
                 raise ViewError(f"{names[i]} has a type that filtered windows can't read: {self.schema.field(i).type}")
-        return self.scan().filter(condition).select(*(quoted(names[i]) for i in projection.indexes), POSITION)
+        return self.scan(parts).filter(condition).select(*(quoted(names[i]) for i in projection.indexes), POSITION)
 
     def groups_that_might_match(self, expr: FilterExpr) -> list[int]:
         """Row groups that their statistics don't rule out. Without statistics, or with columns inside others, none is."""
         column = expr.column_index(self.schema.names)
-        kind, found = self.schema.field(column).type, []
-        for part, footer in zip(self.parts, self.footers, strict=True):
-            flat = footer.num_columns == self.column_count
-            for g in range(footer.num_row_groups):
-                stats = footer.row_group(g).column(column).statistics if flat else None
-                low, high = (stats.min, stats.max) if stats is not None and stats.has_min_max else (None, None)
-                if might_match(expr, kind, low, high):
-                    found.append(part.first_group + g)
-        return found
+        name, kind = self.schema.names[column], self.schema.field(column).type
+        ranges = each_file(self.spark, [p.path for p in self.parts], functools.partial(group_ranges, column=name))
+        return [p.first_group + g for p, own in zip(self.parts, ranges, strict=True) for g, (low, high) in enumerate(own) if might_match(expr, kind, low, high)]
 
     def filtered_frame(self, expr: FilterExpr | str, first_match: int, row_count: int, columns: Sequence[int] | Projection | None = None) -> DataFrame:
         expr = FilterExpr.parse(expr) if isinstance(expr, str) else expr
         if row_count == 0:
             projection = self.projection(columns)
             return self.spark.createDataFrame([], spark_schema(pa.schema([self.schema.field(i) for i in projection.indexes])))
-        found = self.matches(expr, columns)
-        if not self.groups_that_might_match(expr):
+        groups = self.groups_that_might_match(expr)
+        # files of which no group is left aren't opened; in the others, the scan leaves out groups by the condition pushed down
+        ends = [p.first_group + p.group_count for p in self.parts]
+        used = sorted({bisect.bisect_right(ends, g) for g in groups})
+        found = self.matches(expr, columns, [self.parts[i] for i in used] or self.parts[:1])
+        if not groups:
             return found.limit(0).drop(POSITION)
         if first_match + row_count > COUNTED_FROM:
             return self._counted(found, first_match, row_count)

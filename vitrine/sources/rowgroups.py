@@ -10,14 +10,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrine.plans.window import RowWindow
 from vitrine.shipping import pickled_by_value
-from vitrine.sources.footer import DatasetMetadata, FilePart
+from vitrine.sources.footer import DatasetMetadata, FilePart, opened
 from vitrine.sources.types import as_plain, plain_schema, spark_schema
 
 #: The column with a row's place in the dataset.
@@ -50,7 +49,7 @@ def group_partitions(metadata: DatasetMetadata, parts: list[FilePart], window: R
 class RowGroupReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.parts = [GroupPartition(*p) for p in json.loads(options["groups"])]
-        self.columns = json.loads(options["columns"])
+        self.columns, self.names = json.loads(options["columns"]), json.loads(options["names"])
 
     def partitions(self) -> list[GroupPartition]:
         return self.parts or [GroupPartition("", -1, 0, 0, 0)]
@@ -58,12 +57,14 @@ class RowGroupReader(DataSourceReader):
     def read(self, partition: GroupPartition) -> Iterator[pa.RecordBatch]:
         if partition.group < 0:
             return
-        with pq.ParquetFile(partition.path) as opened:
-            schema = opened.schema_arrow
-            wanted = pa.schema([schema.field(i) for i in self.columns])
+        with opened(partition.path) as file:
+            schema = file.schema_arrow
+            # a file of a folder may have its columns in another order
+            places = self.columns if schema.names == self.names else [schema.names.index(self.names[i]) for i in self.columns]
+            wanted = pa.schema([schema.field(i) for i in places])
             target = plain_schema(wanted)
             at, end = 0, partition.skip + partition.take
-            for batch in opened.iter_batches(row_groups=[partition.group], columns=[schema.field(i).name for i in self.columns] or [schema.field(0).name]):
+            for batch in file.iter_batches(row_groups=[partition.group], columns=[schema.field(i).name for i in places] or [schema.field(0).name]):
                 first, last = max(at, partition.skip), min(at + len(batch), end)
                 if first < last:
                     cut = batch.slice(first - at, last - first)
@@ -91,4 +92,4 @@ def read_groups(spark: SparkSession, metadata: DatasetMetadata, parts: list[File
     schema = spark_schema(pa.schema([metadata.schema.field(i) for i in columns]))
     groups = [[p.path, p.group, p.first_row, p.skip, p.take] for p in group_partitions(metadata, parts, window)]
     whole = StructType([*schema.fields, StructField(POSITION, LongType())])
-    return spark.read.format(NAME).schema(whole).option("groups", json.dumps(groups)).option("columns", json.dumps(list(columns))).load()
+    return spark.read.format(NAME).schema(whole).option("groups", json.dumps(groups)).option("columns", json.dumps(list(columns))).option("names", json.dumps(metadata.schema.names)).load()

@@ -84,11 +84,13 @@ def spread(keys: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def kept_hashes(keys: np.ndarray) -> np.ndarray:
-    """Terms x parts: a term's hash where the subset keeps it, else 0. The subsets of a level are within those of the level before."""
-    chance = np.stack([spread(keys, j + 1).astype(np.float64) / 2**64 for j in range(SUBSETS)], axis=1)
-    kept = chance[:, None, :] < 2.0 ** -np.arange(1, LEVELS + 1)[None, :, None]
-    return np.where(kept.reshape(len(keys), LEVELS * SUBSETS), (spread(keys, 99) | np.uint64(1))[:, None], np.uint64(0))
+def kept_sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By part, the sum of the hashes of the terms that the subset keeps, and whether it keeps any. The subsets of a level are within those of the level before."""
+    seeds = np.arange(1, SUBSETS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    chance = spread(keys[:, None] + seeds, 0).astype(np.float64) / 2**64
+    own = (spread(keys, 99) | np.uint64(1))[:, None]
+    kept = [chance < 0.5**level for level in range(1, LEVELS + 1)]
+    return np.concatenate([(own * k).sum(axis=0, dtype=np.uint64) for k in kept]), np.concatenate([k.any(axis=0) for k in kept])
 
 
 class Lexicon:
@@ -102,9 +104,9 @@ class Lexicon:
         keys = np.array([self.keys[w] for w in sorted(distinct_words(text) & self.keys.keys())], np.uint64)
         total, some = np.zeros(LEVELS * SUBSETS, np.uint64), np.zeros(LEVELS * SUBSETS, bool)
         for i in range(0, len(keys), 1024):
-            hashes = kept_hashes(keys[i : i + 1024])
-            total += hashes.sum(axis=0, dtype=np.uint64)
-            some |= (hashes != 0).any(axis=0)
+            sums, any_ = kept_sums(keys[i : i + 1024])
+            total += sums
+            some |= any_
         return np.where(some, spread(total, 7) % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import time
 import uuid
@@ -147,7 +148,8 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str | None =
 
 
 def unzipped(data: bytes) -> bytes:
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    """Of a file of many members; read as a stream, as gzip.decompress copies all that is left after each of them."""
+    return gzip.GzipFile(fileobj=io.BytesIO(data)).read() if data[:2] == b"\x1f\x8b" else data
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:

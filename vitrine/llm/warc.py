@@ -71,23 +71,23 @@ class ArcRecord:
         return found[1].decode() if found else None
 
 
-def member(record: bytes) -> bytes:
+def member(record: bytes, level: int) -> bytes:
     """A gzip member without its last byte, which is the separator that the text writer adds: the highest byte of the length, 0 under 16 MiB. After a longer record comes an empty member, whose length is 0."""
-    found = gzip.compress(record, 6, mtime=0)
+    found = gzip.compress(record, level, mtime=0)
     return (found if not found[-1] else found + gzip.compress(b"", mtime=0))[:-1]
 
 
 class Rolled:
     """Rows of gzip members with the number of the file, of those of this task, that each belongs to."""
 
-    def __init__(self, start, most: int) -> None:
-        self.start, self.most, self.roll, self.size, self.rows, self.waiting = start, most, -1, most, [], 0
+    def __init__(self, start, most: int, level: int) -> None:
+        self.start, self.most, self.level, self.roll, self.size, self.rows, self.waiting = start, most, level, -1, most, [], 0
 
     def add(self, record: bytes) -> Iterator[pa.RecordBatch]:
         if self.size and self.size + len(record) > self.most:
             self.roll, self.size = self.roll + 1, 0
-            self.rows.append((member(self.start(self.roll)), self.roll))
-        row = member(record)
+            self.rows.append((member(self.start(self.roll), self.level), self.roll))
+        row = member(record, self.level)
         self.rows.append((row, self.roll))
         self.size, self.waiting = self.size + len(record), self.waiting + len(row)
         if self.waiting >= FLUSH:
@@ -135,7 +135,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, date: str | None =
     ship(pages.sparkSession)
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rolled(lambda n: arc_start(version, f"pages-{n}.arc", date or "20000101000000") + b"\n", roll)
+        out = Rolled(lambda n: arc_start(version, f"pages-{n}.arc", date or "20000101000000") + b"\n", roll, 1)  # converted soon
         for batch in parts:
             for key, url, html in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["html"], strict=True):
                 body = html.as_py() or b""
@@ -232,7 +232,7 @@ def convert_arc(spark: SparkSession, arc: str, warc: str, least: int = 100, roll
         out = None
         for batch in parts:
             for path, content, marks in zip(batch["path"].to_pylist(), batch["content"], batch["again"].to_pylist(), strict=True):
-                out = out or Rolled(lambda n, name=path.rsplit("/", 1)[-1]: warc_info(f"{name}-{n}.warc"), roll)
+                out = out or Rolled(lambda n, name=path.rsplit("/", 1)[-1]: warc_info(f"{name}-{n}.warc"), roll, 4)
                 first = {m["place"]: m["first"] for m in marks or ()}
                 for i, record in enumerate(parse_arc(unzipped(content.as_py()))):
                     yield from out.add(warc_record(record, first.get(i)))

@@ -12,8 +12,8 @@ differ in more bits than the limit, that has no bucket in common, or that is joi
 n - 1 links, not all pairs. Links make components by large-star and small-star rounds.
 
 Where a similarity of the sets of shingles is asked for, what meets is a candidate and is verified on the sets. First each
-bucket's forest of least distances joins groups of near copies, with fewer links than it has classes; then each class's nearest
-in each bucket of what it is still apart from. So candidates grow with the classes, not with the square of a group; README says what is lost by that.
+bucket's forest of least distances, under some of the masks, joins groups of near copies, with fewer links than it has classes;
+then, under all masks, each class's nearest in each bucket of what it is still apart from, but for pairs verified before. So candidates grow with the classes, not with the square of a group; README says what is lost by that.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any others. A null id is
 never the smallest of its component; a component without ids has a null one. Repeated rows are returned each. Tables may be
@@ -475,15 +475,19 @@ def similar(a: bytes, b: bytes, least: float) -> bool:
     return shared >= least * ((len(a) + len(b)) // 8 - shared) - 1e-9
 
 
-def verified(links: DataFrame, contents: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """links: a, b; contents: id, content of each class. Returns those of the links whose texts' sets of shingles are similar; a table, which the caller may drop."""
+def undirected(links: DataFrame) -> DataFrame:
+    """links: a, b. Each pair of two different ids once, the smaller first."""
+    return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, contents: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """pairs: a table of undirected(); contents: id, content of each class. Returns those of the pairs whose texts' sets of shingles are similar; a table, which the caller may drop."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similar(x.as_buffer(), y.as_buffer(), least) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).join(contents, "id"), "ends")
     texts, few = docs.select(F.xxhash64("text").alias("content"), "text"), ends.count() <= BROADCAST
     if few:
@@ -494,7 +498,7 @@ def verified(links: DataFrame, contents: DataFrame, docs: DataFrame, words: int,
     for end in ("a", "b"):
         sides = looked_up(sides, end, sets.select(F.col("id").alias(end), "n", F.col("set").alias(f"set_{end}")))
     found = written(sides.mapInArrow(run, "a long, b long"), "links")
-    for table in (pairs, ends, sets):
+    for table in (ends, sets):
         drop(table)
     return found
 
@@ -531,13 +535,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 #: than the radius with a chance of 0.0003. A bucket is of the classes that are equal in so many drawn bits, at least MASK_BITS; such a pair meets in one of the masks' buckets
 #: with a chance of MET, and so do in a bucket that is dealt anew those that met in it. What meets within the radius is a candidate and is verified.
 SIMILAR, SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MET, ALIKE_BITS = 0.8, 4, 58, 18, 0.999, 0.8485
+#: The first round, which joins the groups of near copies, has so many of the masks that such a pair meets with that chance; nearer ones, nearly surely. The second has all.
+FIRST_MET = 0.7
 #: What a bucket has of other texts, about, as a power of two.
 OTHERS = 6
 
 
-def masks_for(bits: int) -> int:
-    """So many masks that a pair meets with a chance of MET."""
-    return math.ceil(math.log(1 - MET) / math.log(1 - ALIKE_BITS**bits))
+def masks_for(bits: int, met: float = MET) -> int:
+    """So many masks that a pair meets with a chance of met."""
+    return math.ceil(math.log(1 - met) / math.log(1 - ALIKE_BITS**bits))
 
 
 def similar_groups(docs: DataFrame, words: int) -> DataFrame:
@@ -548,15 +554,17 @@ def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     bits = max(MASK_BITS, math.ceil(math.log2(classes.count() + 1)) - OTHERS)
     deals = [random_deal(SIMILAR_PARTS, bits, masks_for(bits), 11), random_deal(SIMILAR_PARTS, 8, masks_for(8), 12)]
     contents = classes.select("id", "content")
-    candidates = class_links(classes.select("id", "size", F.col("id").alias("group"), *names), names, deals, SIMILAR_RADIUS, SIMILAR)
+    few = [Deal(deals[0].masks[: masks_for(bits, FIRST_MET)]), deals[1]]
+    links = class_links(classes.select("id", "size", F.col("id").alias("group"), *names), names, few, SIMILAR_RADIUS, SIMILAR)
+    candidates = written(undirected(links), "pairs")
     joined = verified(candidates, contents, docs, words, SIMILAR)
-    drop(candidates)
     roots = components(joined)
     apart_ = written(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), *names), "apart")
-    candidates = class_links(apart_, names, deals, SIMILAR_RADIUS, SIMILAR, others=True)
-    rest = verified(candidates, contents, docs, words, SIMILAR)
+    near = class_links(apart_, names, deals, SIMILAR_RADIUS, SIMILAR, others=True)
+    others = written(undirected(near).join(candidates, ["a", "b"], "left_anti"), "pairs")  # what has been verified already isn't again
+    rest = verified(others, contents, docs, words, SIMILAR)
     found = grouped(prints, classes, joined.unionByName(rest)).select("doc_id", "content", "group")
-    for table in (roots, apart_, candidates, joined, rest):
+    for table in (links, candidates, roots, apart_, near, others, joined, rest):
         drop(table)
     return found
 

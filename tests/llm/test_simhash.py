@@ -297,3 +297,65 @@ def test_keep_one_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, None, "z", 3)], "doc_id long, text string, vitrine_text string, vitrine_id long")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["vitrine_text"] for r in kept.collect()) == ["x", "z"]
+
+
+def brute_groups(texts, least=0.8, n=5):
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in texts]
+    return roots(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])])
+
+
+def test_no_link_is_lost_for_far_fingerprints(spark):
+    """Pairs at 0.8 whose fingerprints differ in more bits than the radius: no bucket joins them."""
+    rng, rows = random.Random(31), []
+    while len(rows) < 8:
+        base = [f"z{rng.getrandbits(60)}" for _ in range(49)]
+        near = [*base[:20], f"z{rng.getrandbits(60)}", *base[21:]]
+        codes = [simhash.simhash(" ".join(w), 5, simhash.SIMILAR_PARTS, repeats=False)[0] for w in (base, near)]
+        if simhash.different(*codes) > simhash.SIMILAR_RADIUS:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(near))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 2, 4, 6}
+
+
+def test_no_link_is_lost_whatever_the_fingerprints_say(spark, monkeypatch):
+    """Families of texts with common lines, and fingerprints that join nothing but equal sets."""
+    monkeypatch.setattr(simhash, "SIMILAR_RADIUS", 0)
+    rng = random.Random(33)
+    line = [f"line{i}" for i in range(12)]
+    texts = []
+    for family in range(6):
+        texts.append([f"f{family}x{rng.randrange(300)}" for _ in range(rng.randint(6, 160))] + line * (family % 2))
+        for _ in range(24):
+            words_ = list(rng.choice(texts[-20:] if family % 3 else texts[-1:]))
+            for _ in range(rng.randint(0, 1 + len(words_) // 25)):
+                words_[rng.randrange(len(words_))] = f"n{rng.getrandbits(40)}"
+            texts.append(words_)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = set(brute_groups(texts))
+    assert kept == expected and 6 < len(expected) < 140
+
+
+@pytest.mark.parametrize("look", [1 << 19, 7])
+def test_sharing_pairs_are_all_of_other_groups(monkeypatch, look):
+    monkeypatch.setattr(simhash, "LOOK", look)
+    rng = np.random.default_rng(3)
+    shingle, group = np.sort(rng.integers(0, 9, 200)), rng.integers(0, 5, 200) - 2
+    size, place = rng.integers(5, 40, 200), rng.integers(0, 5, 200)
+    found = sorted(tuple(sorted(p)) for a, b in simhash.sharing(shingle, group, size, place, 0.8) for p in zip(a.tolist(), b.tolist(), strict=True))
+    pairs = [(i, j) for j in range(200) for i in range(j) if shingle[i] == shingle[j] and group[i] != group[j]]
+    assert found == sorted((i, j) for i, j in pairs if 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and 9 * min(size[i] - place[i], size[j] - place[j]) >= 4 * (size[i] + size[j]))
+
+
+def test_first_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = rng.choice(100, n, replace=False).astype(np.uint64)
+        b = np.unique(np.append(a[int(rng.integers(0, n // 8 + 1)) :], rng.integers(0, 100, int(rng.integers(0, n // 8 + 1))).astype(np.uint64)))
+        a, often = np.unique(a), rng.permutation(100)[: int(rng.integers(0, 30))].astype(np.uint64)
+        order = np.argsort(often)
+        first = [set(simhash.first_shingles(x, often[order], order, 0.8).tolist()) for x in (a, b)]
+        shared = len(np.intersect1d(a, b))
+        assert shared < 0.8 * (len(a) + len(b) - shared) or first[0] & first[1]
+    assert not len(simhash.first_shingles(np.zeros(0, np.uint64), often, order, 0.8))

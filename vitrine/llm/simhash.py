@@ -11,9 +11,11 @@ shares and the pattern there. A search goes down from the top with pairs of node
 differ in more bits than the limit, that has no bucket in common, or that is joined already: a group of n near copies gives
 n - 1 links, not all pairs. Links make components by large-star and small-star rounds.
 
-Where a similarity of the sets of shingles is asked for, what meets is a candidate and is verified on the sets. First each
-bucket's forest of least distances, under some of the masks, joins groups of near copies, with fewer links than it has classes;
-then, under all masks, each class's nearest in each bucket of what it is still apart from, but for pairs verified before. So candidates grow with the classes, not with the square of a group; README says what is lost by that.
+Where a similarity of the sets of shingles is asked for, what meets is a candidate and is verified on the sets. Each bucket's
+forest of least distances joins groups of near copies, with fewer links than it has classes. That finds most links, not all, so
+that an exact set-similarity join goes through all that is still apart: two sets of that similarity share a shingle among the
+first of each, in an order of all shingles that has the frequent ones last. Every pair of different groups that shares one, and
+that sizes and places don't rule out, is verified: no link is lost, whatever the fingerprints say.
 
 Defined cases: a null text is empty; texts without words have fingerprint zero and link like any others. A null id is
 never the smallest of its component; a component without ids has a null one. Repeated rows are returned each. Tables may be
@@ -74,10 +76,20 @@ def mixed(hashes: np.ndarray, seed: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The different hashes of a text's shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
 def simhash(text: str, words: int, parts: int, repeats: bool = True) -> tuple[np.ndarray, int]:
     """parts x 64 bits, as unsigned numbers, and how many shingles there are. repeats: whether a shingle counts as often as it occurs."""
+    return majority(shingle_hashes(text, words) if repeats else [shingle_set(text, words)], parts)
+
+
+def majority(blocks_: Iterable[np.ndarray], parts: int) -> tuple[np.ndarray, int]:
+    """Of blocks of hashes, the bits that are set in over half of them and of hashes made from them, and how many there are."""
     counts, n = np.zeros((parts, BITS), np.int64), 0
-    for hashes in shingle_hashes(text, words) if repeats else [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))]:
+    for hashes in blocks_:
         n += len(hashes)
         for part in range(parts):
             counts[part] += np.unpackbits(mixed(hashes, part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
@@ -461,7 +473,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)])).tobytes() for text in texts_of(batch["text"])]
+            sets = [shingle_set(text, words).tobytes() for text in texts_of(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["n"], pa.array(sets, pa.binary())], names=["id", "n", "set"])
 
     return texts.select("id", "n", "text").mapInArrow(run, "id long, n long, set binary")
@@ -531,14 +543,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similarity 0.8 of the sets of shingles: the cosine is about 0.89, and 15 % of the bits differ, give or take 2 %; by the binomial model, more
-#: than the radius with a chance of 0.0003. A bucket is of the classes that are equal in so many drawn bits, at least MASK_BITS; such a pair meets in one of the masks' buckets
-#: with a chance of MET, and so do in a bucket that is dealt anew those that met in it. What meets within the radius is a candidate and is verified.
-SIMILAR, SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, MET, ALIKE_BITS = 0.8, 4, 58, 18, 0.999, 0.8485
-#: The first round, which joins the groups of near copies, has so many of the masks that such a pair meets with that chance; nearer ones, nearly surely. The second has all.
-FIRST_MET = 0.7
+#: For similarity 0.8 of the sets of shingles: the cosine is about 0.89, and 15 % of the bits differ, give or take 2 %. A bucket is of the classes that are equal in so many drawn
+#: bits, at least MASK_BITS; such a pair meets in one of the masks' buckets with a chance of FIRST_MET, nearer ones nearly surely. What meets within the radius is a candidate and is
+#: verified; what doesn't is left to the exact join. What is dealt anew under masks of AGAIN_BITS meets there with a chance of MET.
+SIMILAR, SIMILAR_PARTS, SIMILAR_RADIUS, MASK_BITS, AGAIN_BITS, FIRST_MET, MET, ALIKE_BITS = 0.8, 4, 58, 18, 8, 0.7, 0.999, 0.8485
 #: What a bucket has of other texts, about, as a power of two.
 OTHERS = 6
+#: Shingles of one text of so many are counted, and those that so many of these have are last in the order, at most so many shingles. An order alone: any gives the same links.
+COUNTED, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 18
+#: Pairs that are looked at at once.
+LOOK = 1 << 19
 
 
 def masks_for(bits: int, met: float = MET) -> int:
@@ -546,25 +560,166 @@ def masks_for(bits: int, met: float = MET) -> int:
     return math.ceil(math.log(1 - met) / math.log(1 - ALIKE_BITS**bits))
 
 
+def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of frequent shingles, the most frequent last: of a share of the different texts, counted by the executors."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in texts_of(batch["text"]):
+                found = shingle_set(text, words)
+                for at in range(0, len(found), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].view(np.int64))], names=["shingle"])
+
+    content = F.xxhash64("text")
+    texts = docs.select(content.alias("content"), "text").filter(F.pmod("content", F.lit(COUNTED)) == 0).groupBy("content").agg(F.first("text").alias("text"))
+    counts = written(texts.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT), "frequent")
+    n, fewest = 0, None
+    for row in counts.groupBy(F.col("count").alias("times")).count().orderBy(F.desc("times")).collect():
+        n += row["count"]
+        if n > MOST_FREQUENT:
+            break
+        fewest = row["times"]
+    found = sorted((r["count"], r["shingle"]) for r in counts.filter(F.col("count") >= fewest).collect()) if fewest else []
+    drop(counts)
+    return np.array([shingle for _, shingle in found], np.int64).view(np.uint64)
+
+
+def first_shingles(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, least: float) -> np.ndarray:
+    """So many of a set's shingles, in the order of all (by hash, but the frequent ones last), that it shares one of them with every set of a similarity of least: the first one that
+    both have. frequent: in order of their hashes, with their ranks."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+        found = found[np.lexsort((found, np.where(frequent[at] == found, ranks[at] + 1, 0)))]
+    return found[: len(found) - math.ceil(least * len(found) - 1e-6) + 1]
+
+
+def set_prints(docs: DataFrame, words: int, parts: int, least: float) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, content, id (a hash of the set of shingles: equal sets are one class), size of the set, f0, f1 ... and first_shingles, 8 bytes each."""
+    ship(docs.sparkSession)
+    names, frequent = [f"f{i}" for i in range(parts)], frequent_shingles(docs, words)
+    order = np.argsort(frequent)
+    held = docs.sparkSession.sparkContext.broadcast((frequent[order], order))  # at most MOST_FREQUENT
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for batch in (whole.slice(at, 2048) for at in range(0, len(whole), 2048)):
+                sets = [shingle_set(text, words) for text in texts_of(batch["text"])]
+                bits = np.array([majority([x], parts)[0] for x in sets], np.uint64).reshape(-1, parts).view(np.int64)
+                ids = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+                columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(parts)), pa.array([first_shingles(x, *held.value, least).tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], *columns], names=["doc_id", "content", "id", "size", *names, "first_shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, content long, id long, size long, " + ", ".join(f"{n} long" for n in names) + ", first_shingles binary")
+
+
+def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each of the first shingles of a class: the shingle, the class's id, size and group, and the shingle's place."""
+    for batch in batches:
+        firsts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch["first_shingles"]]
+        ends = np.cumsum([0, *map(len, firsts)])
+        first = 0
+        while first < len(firsts):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + (1 << 16), side="right")) - 1)
+            counts = np.diff(ends[first : last + 1])
+            sizes = np.repeat(batch["size"].to_numpy()[first:last], counts)
+            places = np.arange(ends[first], ends[last]) - np.repeat(ends[first:last], counts)
+            columns = [np.concatenate(firsts[first:last]), np.repeat(batch["id"].to_numpy()[first:last], counts), sizes << 32 | places, np.repeat(batch["group"].to_numpy()[first:last], counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "id", "place", "group"])
+            first = last
+
+
+def sharing(shingle: np.ndarray, group: np.ndarray, size: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows, in parts, of the same shingle and of different groups that sizes and places allow: what two sets have in common is no more than what either has from its first
+    common shingle on. Rows of one shingle are one after another."""
+    starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(shingle))))
+    order = np.lexsort((group, number))
+    number, group, size, place = number[order], group[order], size[order], place[order]
+    after = np.append(starts[1:], len(number))[number]
+    turns = np.append(np.flatnonzero((number[1:] != number[:-1]) | (group[1:] != group[:-1])) + 1, len(number))
+    other = turns[np.searchsorted(turns, np.arange(len(number)), side="right")]  # where its group ends
+    ends = np.cumsum(np.append(0, after - other))
+    for at in range(0, int(ends[-1]), LOOK):
+        pair = np.arange(at, min(at + LOOK, int(ends[-1])))
+        a = np.searchsorted(ends, pair, side="right") - 1
+        b = other[a] + pair - ends[a]
+        keep = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-6
+        a, b = a[keep], b[keep]
+        keep = np.minimum(size[a] - place[a], size[b] - place[b]) >= least / (1 + least) * (size[a] + size[b]) - 1e-6
+        yield order[a[keep]], order[b[keep]]
+
+
+def _meeting(least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of _placed(), those of one shingle one after another. Pairs of ids, the smaller first, each once for a run of rows."""
+
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            shingle, ids, place, group = rows.T
+            alone = np.append(True, shingle[1:] != shingle[:-1]) & np.append(shingle[1:] != shingle[:-1], True)
+            shingle, ids, place, group = shingle[~alone], ids[~alone], place[~alone], group[~alone]
+            kept, n = [], 0
+            for a, b in sharing(shingle, group, place >> 32, place & 0xFFFFFFFF, least) if len(ids) else ():
+                kept.append(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], axis=1))
+                n += len(a)
+                if n > LOOK:
+                    yield from out(kept)
+                    kept, n = [], 0
+            if n:
+                yield from out(kept)
+
+        def out(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            pairs = np.concatenate(kept)
+            pairs = pairs[np.lexsort(pairs.T)]
+            pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+            for at in range(0, len(pairs), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs[at : at + CHUNK].T], names=["a", "b"])
+
+        held, n, need = [], 0, 8 * CHUNK
+        for batch in batches:
+            held.append(np.stack([batch[c].to_numpy() for c in ("shingle", "id", "place", "group")], axis=1))
+            n += len(batch)
+            if n < need:
+                continue
+            whole = np.concatenate(held)
+            edges = np.flatnonzero(whole[1:, 0] != whole[:-1, 0]) + 1
+            cut = int(edges[-1]) if len(edges) else 0  # the last shingle's rows may go on
+            yield from found(whole[:cut]) if cut else ()
+            held, n = [whole[cut:]], len(whole) - cut
+            need = max(8 * CHUNK, 2 * n)
+        if n:
+            yield from found(np.concatenate(held))
+
+    return run
+
+
+def sharing_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """classes: id, size, group, first_shingles. Returns a, b: all pairs of classes of different groups that share one of these and may be of a similarity of least, maybe more than once."""
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = classes.agg(F.sum(F.length("first_shingles"))).first()[0] or 0
+    rows = classes.select("id", "size", "group", "first_shingles").mapInArrow(_placed, "shingle long, id long, place long, group long")
+    return rows.repartition(max(tasks, -(-n // 8 // TASK)), "shingle").sortWithinPartitions("shingle").mapInArrow(_meeting(least), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, content and group: texts whose sets of shingles have a similarity of SIMILAR or more, and what chains of such reach, are one group."""
     names = [f"f{i}" for i in range(SIMILAR_PARTS)]
-    prints = classes_of(written(fingerprints(docs, words, SIMILAR_PARTS, repeats=False), "fingerprints"), names)
-    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.first("size").alias("size"), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
+    prints = written(set_prints(docs, words, SIMILAR_PARTS, SIMILAR), "fingerprints")
+    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.first("size").alias("size"), F.first("first_shingles").alias("first_shingles"), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
     bits = max(MASK_BITS, math.ceil(math.log2(classes.count() + 1)) - OTHERS)
-    deals = [random_deal(SIMILAR_PARTS, bits, masks_for(bits), 11), random_deal(SIMILAR_PARTS, 8, masks_for(8), 12)]
+    deals = [random_deal(SIMILAR_PARTS, bits, masks_for(bits, FIRST_MET), 11), random_deal(SIMILAR_PARTS, AGAIN_BITS, masks_for(AGAIN_BITS), 12)]
     contents = classes.select("id", "content")
-    few = [Deal(deals[0].masks[: masks_for(bits, FIRST_MET)]), deals[1]]
-    links = class_links(classes.select("id", "size", F.col("id").alias("group"), *names), names, few, SIMILAR_RADIUS, SIMILAR)
+    links = class_links(classes.select("id", "size", F.col("id").alias("group"), *names), names, deals, SIMILAR_RADIUS, SIMILAR)
     candidates = written(undirected(links), "pairs")
     joined = verified(candidates, contents, docs, words, SIMILAR)
     roots = components(joined)
-    apart_ = written(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), *names), "apart")
-    near = class_links(apart_, names, deals, SIMILAR_RADIUS, SIMILAR, others=True)
+    near = written(sharing_pairs(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), "first_shingles"), SIMILAR), "links")
     others = written(undirected(near).join(candidates, ["a", "b"], "left_anti"), "pairs")  # what has been verified already isn't again
     rest = verified(others, contents, docs, words, SIMILAR)
     found = grouped(prints, classes, joined.unionByName(rest)).select("doc_id", "content", "group")
-    for table in (links, candidates, roots, apart_, near, others, joined, rest):
+    for table in (links, candidates, roots, near, others, joined, rest):
         drop(table)
     return found
 

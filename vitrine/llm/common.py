@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -30,10 +32,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lost executors don't lose it, and it isn't computed twice."""
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs in it send Python at most so many rows at once: of long texts and sets, the usual number takes hundreds of MB on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: lost executors don't lose it, and it isn't computed twice. batch: rows that Python gets at once, at most."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with short_batches(spark, batch) if batch else contextlib.nullcontext():
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.vitrine_path = path
     return out
@@ -75,6 +90,13 @@ def batches(rows: list, schema: pa.Schema, size: int = 4096) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the system: the next tasks may be the JVM's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file; VITRINE_TOKENIZERS names another folder."""
     if folder := os.environ.get("VITRINE_TOKENIZERS"):

@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import drop, extended, ship, texts_of, tokenizer_path, written
+from vitrine.llm.common import drop, extended, give_back, ship, texts_of, tokenizer_path, written
 
 CAPACITY = 2048
 #: Rows of a range, about: what a task has on its stack at most.
 RANGE = 1_000_000
 #: Up to so many pieces and gaps, one task does the rounds that are left: with one range they have the same outcome, without the jobs.
 FINISH = 100_000
+#: Rows with texts that Python gets at once.
+BATCH = 1024
 #: Distinct words kept by a Python worker.
 CACHE = 500_000
 
@@ -97,6 +99,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                     out.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
             piece, start, length, crc = zip(*out, strict=True) if out else ((),) * 4
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, spark_schema)
 
@@ -215,7 +218,9 @@ def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
         swept = written(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep_range, _SWEPT), "packing")
         ends = {(r["range"], r["status"]): r["count"] for r in swept.filter("status != 'match'").groupBy("range", "status").count().collect()}
         runs = meet([(at, ends.get((at, "piece"), 0), ends.get((at, "gap"), 0)) for at in sorted({k[0] for k in ends})])
-        run_rows = spark.createDataFrame(runs, "range int, first long, end long, gap_range int, gap_first long")  # two for each range at most
+        # two for each range at most; an Arrow table takes no Python on the executors, where a list would have further workers started there
+        columns = zip(*runs, strict=True) if runs else ((),) * 5
+        run_rows = spark.createDataFrame(pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), *(pa.int64(),) * 2, pa.int32(), pa.int64()), strict=True)], names=["range", "first", "end", "gap_range", "gap_first"]))
         waiting = swept.filter("status = 'piece'")
         met = waiting.alias("p").join(F.broadcast(run_rows).alias("r"), F.expr("p.range = r.range AND p.rank >= r.first AND p.rank < r.end"), "left").select("p.id", "p.size", F.col("r.gap_range").alias("range"), F.expr("r.gap_first + p.rank - r.first").alias("rank"))
         met = met.join(swept.filter("status = 'gap'").select("range", "rank", F.col("id").alias("bin")), ["range", "rank"], "left")
@@ -248,7 +253,7 @@ def _finished(state: DataFrame, bins: int, rounds: int, capacity: int) -> DataFr
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = CAPACITY) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, a row per piece."""
     ship(docs.sparkSession)
-    pieces = written(token_pieces(docs, tokenizer, capacity).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    pieces = written(token_pieces(docs, tokenizer, capacity).withColumn("id", F.monotonically_increasing_id()), "pieces", BATCH)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = pieces.filter(F.col("length") == capacity).select(*columns, (2 * F.col("id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity)

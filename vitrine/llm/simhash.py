@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import drop, looked_up, ship, texts_of, unused, written
+from vitrine.llm.common import drop, give_back, looked_up, ship, texts_of, unused, written
 
 BITS = 64
 #: Nodes' runs.
@@ -392,6 +392,8 @@ def _search(names: list[str], radius: int, again: bool, least: float | None, oth
             need = max(CHUNK, 2 * n)
         if n:
             yield from found(np.concatenate(held))
+        held.clear()
+        give_back()
 
     return run
 
@@ -499,17 +501,18 @@ def verified(pairs: DataFrame, contents: DataFrame, docs: DataFrame, words: int,
         for batch in batches:
             keep = [similar(x.as_buffer(), y.as_buffer(), least) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).join(contents, "id"), "ends")
     texts, few = docs.select(F.xxhash64("text").alias("content"), "text"), ends.count() <= BROADCAST
     if few:
         texts = texts.join(F.broadcast(ends.select("content")), "content", "left_semi")
     texts = texts.groupBy("content").agg(F.first("text").alias("text"))  # of copies, each task sends one
-    sets = written(shingle_sets(texts.join(F.broadcast(ends) if few else ends, "content"), words), "sets")
+    sets = written(shingle_sets(texts.join(F.broadcast(ends) if few else ends, "content"), words), "sets", BATCH)
     sides = pairs
     for end in ("a", "b"):
         sides = looked_up(sides, end, sets.select(F.col("id").alias(end), "n", F.col("set").alias(f"set_{end}")))
-    found = written(sides.mapInArrow(run, "a long, b long"), "links")
+    found = written(sides.mapInArrow(run, "a long, b long"), "links", BATCH)
     for table in (ends, sets):
         drop(table)
     return found
@@ -553,6 +556,8 @@ OTHERS = 6
 COUNTED, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 18
 #: Pairs that are looked at at once.
 LOOK = 1 << 19
+#: Rows with texts or sets that Python gets at once.
+BATCH = 1024
 
 
 def masks_for(bits: int, met: float = MET) -> int:
@@ -572,7 +577,7 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
     content = F.xxhash64("text")
     texts = docs.select(content.alias("content"), "text").filter(F.pmod("content", F.lit(COUNTED)) == 0).groupBy("content").agg(F.first("text").alias("text"))
-    counts = written(texts.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT), "frequent")
+    counts = written(texts.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= FREQUENT), "frequent", BATCH)
     n, fewest = 0, None
     for row in counts.groupBy(F.col("count").alias("times")).count().orderBy(F.desc("times")).collect():
         n += row["count"]
@@ -603,13 +608,13 @@ def set_prints(docs: DataFrame, words: int, parts: int, least: float) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for whole in batches:
-            for batch in (whole.slice(at, 2048) for at in range(0, len(whole), 2048)):
-                sets = [shingle_set(text, words) for text in texts_of(batch["text"])]
-                bits = np.array([majority([x], parts)[0] for x in sets], np.uint64).reshape(-1, parts).view(np.int64)
-                ids = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-                columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(parts)), pa.array([first_shingles(x, *held.value, least).tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], *columns], names=["doc_id", "content", "id", "size", *names, "first_shingles"])
+        for batch in batches:
+            sets = [shingle_set(text, words) for text in texts_of(batch["text"])]
+            bits = np.array([majority([x], parts)[0] for x in sets], np.uint64).reshape(-1, parts).view(np.int64)
+            ids = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(parts)), pa.array([first_shingles(x, *held.value, least).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], *columns], names=["doc_id", "content", "id", "size", *names, "first_shingles"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, content long, id long, size long, " + ", ".join(f"{n} long" for n in names) + ", first_shingles binary")
@@ -691,6 +696,8 @@ def _meeting(least: float):
             need = max(8 * CHUNK, 2 * n)
         if n:
             yield from found(np.concatenate(held))
+        held.clear()
+        give_back()
 
     return run
 
@@ -706,7 +713,7 @@ def sharing_pairs(classes: DataFrame, least: float) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, content and group: texts whose sets of shingles have a similarity of SIMILAR or more, and what chains of such reach, are one group."""
     names = [f"f{i}" for i in range(SIMILAR_PARTS)]
-    prints = written(set_prints(docs, words, SIMILAR_PARTS, SIMILAR), "fingerprints")
+    prints = written(set_prints(docs, words, SIMILAR_PARTS, SIMILAR), "fingerprints", BATCH)
     classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.first("size").alias("size"), F.first("first_shingles").alias("first_shingles"), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
     bits = max(MASK_BITS, math.ceil(math.log2(classes.count() + 1)) - OTHERS)
     deals = [random_deal(SIMILAR_PARTS, bits, masks_for(bits, FIRST_MET), 11), random_deal(SIMILAR_PARTS, AGAIN_BITS, masks_for(AGAIN_BITS), 12)]
@@ -715,7 +722,7 @@ def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     candidates = written(undirected(links), "pairs")
     joined = verified(candidates, contents, docs, words, SIMILAR)
     roots = components(joined)
-    near = written(sharing_pairs(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), "first_shingles"), SIMILAR), "links")
+    near = written(sharing_pairs(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), "first_shingles"), SIMILAR), "links", 8 * BATCH)
     others = written(undirected(near).join(candidates, ["a", "b"], "left_anti"), "pairs")  # what has been verified already isn't again
     rest = verified(others, contents, docs, words, SIMILAR)
     found = grouped(prints, classes, joined.unionByName(rest)).select("doc_id", "content", "group")

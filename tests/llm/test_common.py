@@ -48,3 +48,17 @@ def test_a_frequent_key_is_dealt_to_many_tasks(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_short_batches(spark):
+    """Python gets so many rows at once, and the session's number is as it was."""
+    from vitrine.llm.common import written
+
+    def count(batches):
+        for batch in batches:
+            yield type(batch).from_pydict({"n": [len(batch)]})
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = [r["n"] for r in written(spark.range(0, 1000, 1, 1).mapInArrow(count, "n long"), "sizes", 64).collect()]
+    assert max(sizes) == 64 and sum(sizes) == 1000 and spark.conf.get(key) == before

@@ -359,3 +359,13 @@ def test_first_shingles_of_similar_sets_meet():
         shared = len(np.intersect1d(a, b))
         assert shared < 0.8 * (len(a) + len(b) - shared) or first[0] & first[1]
     assert not len(simhash.first_shingles(np.zeros(0, np.uint64), often, order, 0.8))
+
+
+def test_parities_rule_out_no_similar_sets():
+    rng = np.random.default_rng(7)
+    for n in (1, 9, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.append(a[n // 10 :], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)))
+        bits = [np.unpackbits(simhash.parities(x)) for x in (a, b)]
+        assert len(bits[0]) == simhash.PARITIES and (bits[0] != bits[1]).sum() <= len(np.setxor1d(a, b))
+    assert not simhash.parities(np.zeros(0, np.uint64)).any()

@@ -558,6 +558,8 @@ COUNTED, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 18
 LOOK = 1 << 19
 #: Rows with texts or sets that Python gets at once.
 BATCH = 1024
+#: A power of two.
+PARITIES = 2048
 
 
 def masks_for(bits: int, met: float = MET) -> int:
@@ -598,8 +600,32 @@ def first_shingles(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, l
     return found[: len(found) - math.ceil(least * len(found) - 1e-6) + 1]
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """PARITIES bits: whether the number of a set's shingles is odd in each of as many parts of all. Two sets differ in as many shingles at least as they do in bits."""
+    return np.packbits(np.bincount((found >> np.uint64(64 - PARITIES.bit_length() + 1)).astype(np.int64), minlength=PARITIES) & 1 == 1)
+
+
+def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """pairs: a, b; classes: id, size, parities. Returns those of the pairs that may be of a similarity of least by their parities, which are far smaller than sets; none that is goes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [np.frombuffer(b"".join(batch[f"parities_{end}"].to_pylist()), np.uint64).reshape(len(batch), -1) for end in ("a", "b")] if len(batch) else [np.zeros((0, 1), np.uint64)] * 2
+            keep = different(*sides) <= (1 - least) / (1 + least) * (batch["size_a"].to_numpy() + batch["size_b"].to_numpy()) + 1e-6
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    ends = written(ends.join(classes.select("id", "size", "parities"), "id"), "ends")
+    sides = pairs
+    for end in ("a", "b"):
+        sides = looked_up(sides, end, ends.select(F.col("id").alias(end), "n", F.col("size").alias(f"size_{end}"), F.col("parities").alias(f"parities_{end}")))
+    found = written(sides.mapInArrow(run, "a long, b long"), "pairs", 4 * BATCH)
+    drop(ends)
+    return found
+
+
 def set_prints(docs: DataFrame, words: int, parts: int, least: float) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, content, id (a hash of the set of shingles: equal sets are one class), size of the set, f0, f1 ... and first_shingles, 8 bytes each."""
+    """docs: doc_id, text. Returns doc_id, content, id (a hash of the set of shingles: equal sets are one class), size of the set, parities, f0, f1 ... and first_shingles, 8 bytes each."""
     ship(docs.sparkSession)
     names, frequent = [f"f{i}" for i in range(parts)], frequent_shingles(docs, words)
     order = np.argsort(frequent)
@@ -612,12 +638,12 @@ def set_prints(docs: DataFrame, words: int, parts: int, least: float) -> DataFra
             sets = [shingle_set(text, words) for text in texts_of(batch["text"])]
             bits = np.array([majority([x], parts)[0] for x in sets], np.uint64).reshape(-1, parts).view(np.int64)
             ids = np.array([xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(parts)), pa.array([first_shingles(x, *held.value, least).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], *columns], names=["doc_id", "content", "id", "size", *names, "first_shingles"])
+            columns = [pa.array(ids), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x).tobytes() for x in sets], pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(parts)), pa.array([first_shingles(x, *held.value, least).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], *columns], names=["doc_id", "content", "id", "size", "parities", *names, "first_shingles"])
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, content long, id long, size long, " + ", ".join(f"{n} long" for n in names) + ", first_shingles binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("content")).mapInArrow(run, f"doc_id {kind}, content long, id long, size long, parities binary, " + ", ".join(f"{n} long" for n in names) + ", first_shingles binary")
 
 
 def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -714,7 +740,9 @@ def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, content and group: texts whose sets of shingles have a similarity of SIMILAR or more, and what chains of such reach, are one group."""
     names = [f"f{i}" for i in range(SIMILAR_PARTS)]
     prints = written(set_prints(docs, words, SIMILAR_PARTS, SIMILAR), "fingerprints", BATCH)
-    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.first("size").alias("size"), F.first("first_shingles").alias("first_shingles"), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
+    classes = written(prints.groupBy("id").agg(*(F.first(n).alias(n) for n in names), F.first("size").alias("size"), F.first("parities").alias("parities"), F.first("first_shingles").alias("first_shingles"), F.min("doc_id").alias("first"), F.min("content").alias("content"), F.count("*").alias("n")), "classes")
+    whole, prints = prints, written(prints.select("doc_id", "content", "id"), "prints")
+    drop(whole)
     bits = max(MASK_BITS, math.ceil(math.log2(classes.count() + 1)) - OTHERS)
     deals = [random_deal(SIMILAR_PARTS, bits, masks_for(bits, FIRST_MET), 11), random_deal(SIMILAR_PARTS, AGAIN_BITS, masks_for(AGAIN_BITS), 12)]
     contents = classes.select("id", "content")
@@ -724,9 +752,11 @@ def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     roots = components(joined)
     near = written(sharing_pairs(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), "first_shingles"), SIMILAR), "links", 8 * BATCH)
     others = written(undirected(near).join(candidates, ["a", "b"], "left_anti"), "pairs")  # what has been verified already isn't again
-    rest = verified(others, contents, docs, words, SIMILAR)
+    drop(near)
+    likely = possible(others, classes, SIMILAR)
+    rest = verified(likely, contents, docs, words, SIMILAR)
     found = grouped(prints, classes, joined.unionByName(rest)).select("doc_id", "content", "group")
-    for table in (links, candidates, roots, near, others, joined, rest):
+    for table in (links, candidates, roots, others, likely, joined, rest):
         drop(table)
     return found
 

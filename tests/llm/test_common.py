@@ -62,3 +62,16 @@ def test_short_batches(spark):
     before = spark.conf.get(key)
     sizes = [r["n"] for r in written(spark.range(0, 1000, 1, 1).mapInArrow(count, "n long"), "sizes", 64).collect()]
     assert max(sizes) == 64 and sum(sizes) == 1000 and spark.conf.get(key) == before
+
+
+def test_heaps_are_freed(spark):
+    """A full collection, on executors too; here they are in the driver's process."""
+    from vitrine.llm.common import free_heaps
+
+    def collected():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    before = collected()
+    free_heaps(spark)
+    assert collected() > before

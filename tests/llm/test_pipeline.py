@@ -84,3 +84,19 @@ def test_run_is_the_stages(spark, stages):
     expected = stages["pack"][1]
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert out[key].sort_values(key).reset_index(drop=True).equals(expected[key].sort_values(key).reset_index(drop=True))
+
+
+def test_python_gets_few_texts_at_once(spark):
+    """In the stages whose result runs after they have returned, too; the session's number is set back."""
+
+    def count(batches):
+        for batch in batches:
+            yield type(batch).from_pydict({"n": [len(batch)]})
+
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    many, before = docs.crossJoin(spark.range(20)).drop("id").coalesce(1), spark.conf.get(key)
+    for f in (corpus_pipeline.good_quality, corpus_pipeline.known_language):
+        sizes = [r["n"] for r in f(spark, many, SF_DIR).mapInArrow(count, "n long").collect()]
+        assert max(sizes) <= 1024 < sum(sizes)
+    corpus_pipeline.near_dedup(spark, docs.limit(20), SF_DIR)
+    assert spark.conf.get(key) == before

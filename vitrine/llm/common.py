@@ -32,16 +32,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vitrine/{name}-{uuid.uuid4().hex}"
 
 
+_ROWS, _USUAL = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.vitrine.usualRecordsPerBatch"
+
+
 @contextlib.contextmanager
 def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs in it send Python at most so many rows at once: of long texts and sets, the usual number takes hundreds of MB on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(_ROWS, before)
+
+
+def keep_batches_short(spark: SparkSession, rows: int) -> None:
+    """As short_batches(), for a result that runs after its function has returned: it holds until usual_batches()."""
+    before = spark.conf.get(_ROWS)
+    if spark.conf.get(_USUAL, None) is None:
+        spark.conf.set(_USUAL, before)
+    spark.conf.set(_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+
+
+def usual_batches(spark: SparkSession) -> None:
+    """The session's own number of rows holds again."""
+    if before := spark.conf.get(_USUAL, None):
+        spark.conf.set(_ROWS, before)
+        spark.conf.unset(_USUAL)
 
 
 def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
@@ -97,6 +114,15 @@ def give_back() -> None:
         trim(0)
 
 
+def free_heaps(spark: SparkSession) -> None:
+    """A full collection on each executor: what its JVM's heap and direct buffers have grown by goes back to the system, where the Python workers of what follows need it.
+
+    A job of a task for each core, which Spark deals to all executors that are idle; where one gets none, its heap stays as it is. Nothing that is computed depends on it."""
+    context = spark.sparkContext
+    tasks = 1 if context._jsc.sc().isLocal() else context.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file; VITRINE_TOKENIZERS names another folder."""
     if folder := os.environ.get("VITRINE_TOKENIZERS"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bounded_sample, bytes_of, extended, fold_column, ship, spans, unused
+from vitrine.llm.common import bounded_sample, bytes_of, extended, fold_column, give_back, ship, spans, unused
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -176,6 +176,7 @@ def predict(docs: DataFrame, net: ByteNet | None, names: tuple[str, ...] = ("lan
             best_langs = pa.array([net.langs[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)], pa.string())
             scores = [pa.array(np.clip(np.where(lettered, x, 0.0), 0, 1), pa.float64()) for x in (score, sure)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[best_langs, *scores][: len(names)]], names=[*batch.schema.names, *names])
+        give_back()
 
     return docs.mapInArrow(run, extended(docs.schema, f"{names[0]} string, " + ", ".join(f"{n} double" for n in names[1:])))
 

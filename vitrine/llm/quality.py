@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import bytes_of, extended, fold_column, labelled_sample, ship, spans, texts_of, unused
+from vitrine.llm.common import bytes_of, extended, fold_column, give_back, labelled_sample, ship, spans, texts_of, unused
 
 TERMS = 4096
 #: Terms of shape: eight levels of each of SHAPES shares.
@@ -163,6 +163,7 @@ def score(docs: DataFrame, model: Neighbours | None, name: str = "score") -> Dat
                     j = min(last, i + 512)
                     out[i:j] = vote(model, term_counts(data, ends[i : j + 1]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(out, 0, 1), pa.float64())], names=[*batch.schema.names, name])
+        give_back()
 
     return docs.mapInArrow(run, extended(docs.schema, f"{name} double"))
 

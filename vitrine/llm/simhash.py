@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import drop, give_back, looked_up, ship, texts_of, unused, written
+from vitrine.llm.common import drop, free_heaps, give_back, looked_up, ship, texts_of, unused, written
 
 BITS = 64
 #: Nodes' runs.
@@ -750,6 +750,7 @@ def similar_groups(docs: DataFrame, words: int) -> DataFrame:
     candidates = written(undirected(links), "pairs")
     joined = verified(candidates, contents, docs, words, SIMILAR)
     roots = components(joined)
+    free_heaps(docs.sparkSession)
     near = written(sharing_pairs(classes.join(roots, "id", "left").select("id", "size", F.coalesce("root", "id").alias("group"), "first_shingles"), SIMILAR), "links", 8 * BATCH)
     others = written(undirected(near).join(candidates, ["a", "b"], "left_anti"), "pairs")  # what has been verified already isn't again
     drop(near)
